@@ -68,6 +68,13 @@ def total_bytes(df: DataFrame, column: str = "text") -> int:
     return df.agg(F.sum(F.octet_length(F.col(column)).cast("long"))).first()[0] or 0
 
 
+def held_out(doc_id="doc_id"):
+    """Rows whose labels are never learnt from: crc32 of the id as text divisible by five."""
+    from pyspark.sql import functions as F
+
+    return F.coalesce(F.crc32(F.col(doc_id).cast("string")) % 5 == 0, F.lit(True))
+
+
 def table_ceil(spark: SparkSession, nbytes: int, per_task: int) -> int:
     """Partitions so that each holds about ``per_task`` bytes."""
     least = int(spark.conf.get("spark.sql.shuffle.partitions", "8"))
@@ -79,6 +86,9 @@ _BYTE = _rng.integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
+#: White space and ASCII punctuation, for bare words.
+_BREAK = _SPACE.copy()
+_BREAK[[c for c in range(128) if not chr(c).isalnum()]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _POWER = np.zeros(0, np.uint64)
@@ -118,8 +128,9 @@ def passes(lengths, limit: int = PASS_BYTES):
         yield begin, len(lengths)
 
 
-def word_hashes(texts: list[bytes], lower: bool = True):
-    """Hash every word ``[^\\x20\\x09-\\x0D]+`` of the texts.
+def word_hashes(texts: list[bytes], lower: bool = True, bare: bool = False):
+    """Hash every word ``[^\\x20\\x09-\\x0D]+`` of the texts (``bare``: runs of
+    letters, digits and non-ASCII bytes).
 
     Returns (hash per word, text number per word, byte length per word).
     """
@@ -127,7 +138,7 @@ def word_hashes(texts: list[bytes], lower: bool = True):
     ends = np.cumsum([len(t) + 1 for t in texts])
     if lower:
         data = _LOWER[data]
-    inside = ~_SPACE[data]
+    inside = ~(_BREAK if bare else _SPACE)[data]
     edge = np.diff(np.concatenate(([False], inside, [False])).astype(np.int8))
     begin, stop = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
     if not len(begin):
