@@ -32,7 +32,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, as_bytes, columns_free_of, mix, shingle_sets, table_ceil, total_bytes
+from .common import Scratch, as_bytes, columns_free_of, mix, shingle_sets
 
 #: Documents in an Arrow batch when whole texts go through Python.
 TEXT_ROWS = 512

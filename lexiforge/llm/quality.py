@@ -177,6 +177,16 @@ def fit(stats: DataFrame, labels: DataFrame, label: str, sample: int = SAMPLE, f
     return model
 
 
+def scores(model: Model, text: str = "text"):
+    """A column of scores of whole texts, for filters that keep every other column."""
+
+    @F.pandas_udf("double")
+    def score(texts: pd.Series) -> pd.Series:
+        return pd.Series(model.score(text_statistics(as_bytes(texts))))
+
+    return score(F.col(text))
+
+
 def classify(docs: DataFrame, labels: DataFrame, label: str = "quality", threshold: float = 0.3) -> DataFrame:
     """Per row of ``docs`` (doc_id, text): doc_id, held_out, score, predicted."""
     stats = Scratch(docs.sparkSession, "quality-stats").cut(statistics(docs))

@@ -35,7 +35,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import _BYTE, as_bytes, columns_free_of, mix, passes, table_ceil, total_bytes
+from .common import _BYTE, as_bytes, mix, passes, table_ceil, total_bytes
 
 PART_BYTES = 6 << 20
 BUCKET_BYTES = 12 << 20
@@ -131,6 +131,7 @@ class _Part:
         null = frame["doc_id"].isna().to_numpy()
         ids = frame["doc_id"].fillna(0).to_numpy(np.int64)
         order = sorted(range(len(ids)), key=lambda i: (null[i], ids[i], texts[i]))
+        self.carried = frame["carried"].to_numpy()[order] if "carried" in frame else [None] * len(order)
         self.texts, self.ids, self.null = [texts[i] for i in order], ids[order], null[order]
         self.span = span
         self.passes = [_Pass(self.texts[a:b], a, ~self.null[a:b], span) for a, b in passes([len(t) for t in self.texts])]
@@ -225,12 +226,15 @@ def _coarse(part: _Part, answers: pd.DataFrame):
     return whole, fine[group] & ~whole
 
 
-def suffix_dedup(docs: DataFrame, span: int = 50) -> DataFrame:
-    """Per row of ``docs`` (doc_id, text): doc_id, n_bytes, kept (binary), spans (removed runs)."""
+def suffix_dedup(docs: DataFrame, span: int = 50, carry: str | None = None) -> DataFrame:
+    """Per row of ``docs`` (doc_id, text): doc_id, n_bytes, kept (binary), spans (removed runs).
+
+    ``carry`` names a string column that comes along unchanged (as ``carried``).
+    """
     if not 32 <= span <= 64:
         raise ValueError("span must be from 32 to 64 bytes")
     spark = docs.sparkSession
-    docs = columns_free_of(docs, "doc_id", "text")
+    docs = docs.select("doc_id", "text", *([F.col(carry).alias("carried")] if carry else []))
     size = total_bytes(docs)
     parts, buckets = table_ceil(spark, size, PART_BYTES), table_ceil(spark, size, BUCKET_BYTES)
     dealt = docs.withColumn("part", F.pmod(F.xxhash64("doc_id", "text"), F.lit(parts)))
@@ -271,7 +275,7 @@ def suffix_dedup(docs: DataFrame, span: int = 50) -> DataFrame:
 
     def finish(key, frame, answers):
         if not len(frame):
-            return pd.DataFrame(columns=["doc_id", "n_bytes", "kept", "spans"])
+            return pd.DataFrame(columns=["doc_id", "n_bytes", "kept", "spans", *["carried"] * bool(carry)])
         part = _Part(frame, span)
         whole, ranks, doc, at, at_pass = fine_windows(part, answers)
         gone = np.zeros(0, bool)
@@ -300,13 +304,13 @@ def suffix_dedup(docs: DataFrame, span: int = 50) -> DataFrame:
                     edge = np.flatnonzero(np.diff(np.concatenate(([0], mine.view(np.int8), [0]))))
                     spans = [{"start": int(x), "stop": int(y)} for x, y in edge.reshape(-1, 2)]
                     text = np.frombuffer(text, np.uint8)[~mine].tobytes()
-                rows.append((None if part.null[k] else int(part.ids[k]), int(b - a), text, spans))
+                rows.append((None if part.null[k] else int(part.ids[k]), int(b - a), text, spans, part.carried[k]))
         ids = pd.array([r[0] for r in rows], "Int64")
-        return pd.DataFrame({"doc_id": ids, "n_bytes": [r[1] for r in rows], "kept": [r[2] for r in rows], "spans": [r[3] for r in rows]})
+        return pd.DataFrame({"doc_id": ids, "n_bytes": [r[1] for r in rows], "kept": [r[2] for r in rows], "spans": [r[3] for r in rows]} | ({"carried": [r[4] for r in rows]} if carry else {}))
 
     coarse = dealt.groupBy("part").applyInPandas(first_round, _ROW).groupBy("bucket").applyInPandas(_settle, _BACK)
     fine = dealt.groupBy("part").cogroup(coarse.groupBy("part")).applyInPandas(second_round, _ROW).groupBy("bucket").applyInPandas(_settle, _BACK)
-    return dealt.groupBy("part").cogroup(coarse.union(fine).groupBy("part")).applyInPandas(finish, "doc_id long, n_bytes long, kept binary, spans array<struct<start:long,stop:long>>")
+    return dealt.groupBy("part").cogroup(coarse.union(fine).groupBy("part")).applyInPandas(finish, "doc_id long, n_bytes long, kept binary, spans array<struct<start:long,stop:long>>" + ", carried string" * bool(carry))
 
 
 _ROW_NAMES = ["bucket", "part", "kind", "names", "ranks", "ids", "places"]

@@ -55,7 +55,7 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
-def nnpu(xp: np.ndarray, xu: np.ndarray, prior: float, steps: int = 300, rate: float = 0.05, decay: float = 3e-4):
+def nnpu(xp: np.ndarray, xu: np.ndarray, prior: float, steps: int = 400, rate: float = 0.08, decay: float = 3e-5):
     """Weights and bias that minimise the non-negative risk (full batches, Adam)."""
     d = xp.shape[1]
     theta = np.zeros(d + 1)
@@ -118,6 +118,16 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", positives: int
     return Model(words[keep], weights, float(bias))
 
 
+def scores(model: Model, text: str = "text"):
+    """A column of scores of whole texts, for filters that keep every other column."""
+
+    @F.pandas_udf("double")
+    def score(texts: pd.Series) -> pd.Series:
+        return pd.Series(model.score(word_sets(as_bytes(texts))))
+
+    return score(F.col(text))
+
+
 def classify(docs: DataFrame, labels: DataFrame, label: str = "toxic", threshold: float = 0.5) -> DataFrame:
     """Per row of ``docs`` (doc_id, text): doc_id, held_out, score, predicted."""
     docs = columns_free_of(docs, "doc_id", "text")
