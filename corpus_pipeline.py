@@ -47,7 +47,8 @@ def suffix_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     carried = docs.select("doc_id", "text", F.to_json(F.struct(*rest)).alias("rest")) if rest else docs
     out = suffix_dedup.suffix_dedup(carried, span=50, carry="rest" if rest else None)
     # A null text stays empty text: nothing of it can repeat.
-    out = out.withColumn("text", F.when(F.size("spans") > 0, F.replace(F.decode(F.encode(F.make_valid_utf8(F.col("kept").cast("string")), "UTF-8"), "UTF-8"), F.lit("�"), F.lit(""))).otherwise(F.col("kept").cast("string")))
+    whole = F.pandas_udf(lambda kept: kept.map(lambda b: bytes(b).decode("utf-8", "ignore")), "string")
+    out = out.withColumn("text", whole("kept"))
     if rest:
         schema = docs.select(*rest).schema
         out = out.withColumn("rest", F.from_json("carried", schema))
