@@ -13,9 +13,10 @@ to the next offset.
   the one with the least rank (equal windows pick the same), with the rank of the
   whole run of bytes whose windows picked it.  A position whose 16-byte rank is
   unique leaves.  A run that equals a run of a smaller document goes whole.
-* Positions in runs that share a 16-byte rank but differ as runs are reranked at
-  32 bytes and at ``span`` (pair of the 32-byte ranks at p and p + span - 32), and
-  exchanged once more; the smallest document of each rank decides.
+* Runs that share a 16-byte rank but differ as runs are reranked at 32 bytes (those
+  before and after the shared 16); positions unique at 32 bytes leave.
+* The rest is reranked at ``span`` (pair of the 32-byte ranks at p and p + span - 32)
+  and exchanged once more; the smallest document of each rank decides.
 
 Documents are dealt into parts of about ``PART_BYTES`` by hash.  A part sends each
 rank once with its smallest document, so a passage held by a third of all rows is
@@ -40,6 +41,8 @@ from .common import _BYTE, as_bytes, mix, passes, table_ceil, total_bytes
 PART_BYTES = 6 << 20
 BUCKET_BYTES = 12 << 20
 ANCHOR = 16
+#: Bits of a run's rank that are sent; it is compared under one 16-byte rank only.
+_RUN_BITS = np.uint64((1 << 48) - 1)
 #: Low bits of a key that hold the position within a pass; longer texts are refused.
 PLACE_BITS = 28
 _K = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5], np.uint64)
@@ -95,6 +98,10 @@ class _Pass:
         self.doc = owner[cut] + first
         self.name = (order[self.anchor] >> np.uint64(24)).astype(np.uint64)  # 40 bits
         rank32 = _pair(rank, 16, 4)
+        # The 32 bytes that begin with the anchor, and those that end with it, in 16 bits each.
+        top = len(rank32) - 1
+        ahead, behind = np.minimum(self.anchor, top), np.clip(self.anchor - ANCHOR, 0, top)
+        self.near = np.stack([mix(rank32[at]) >> np.uint64(48) for at in (ahead, behind)], 1).astype(np.uint16)
         # A run's rank: sum over its windows' 32-byte ranks at both ends and between, by place.
         self.rank32 = rank32
         total = np.concatenate((np.zeros(1, np.uint64), np.cumsum(self._window_rank(0, len(data) - span + 1), dtype=np.uint64)))
@@ -114,13 +121,18 @@ class _Pass:
         with np.errstate(over="ignore"):
             return mix(r[at] * _K[0] + r[at + gap] * _K[1])
 
-    def windows(self, which: np.ndarray):
-        """(window start, document) of the runs marked in ``which``."""
+    def windows(self, marks: np.ndarray):
+        """(window start, document) of the windows to rerank: bit 1 of a run's mark covers
+        windows that hold the 32 bytes from its anchor on, bit 2 those up to its end."""
+        which = marks > 0
         begin, many = self.begin[which], (self.stop - self.begin)[which] + 1
         if not len(begin):
             return np.zeros(0, np.int64), np.zeros(0, np.int64)
         at = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many) + np.repeat(begin, many)
-        return at, np.repeat(self.doc[which], many)
+        before = np.repeat(self.anchor[which], many) - at
+        mark, doc = np.repeat(marks[which], many), np.repeat(self.doc[which], many)
+        keep = ((before > self.span - 32) | (mark & 1 > 0)) & ((before < ANCHOR) | (mark & 2 > 0))
+        return at[keep], doc[keep]
 
 
 class _Part:
@@ -136,7 +148,8 @@ class _Part:
         self.span = span
         self.passes = [_Pass(self.texts[a:b], a, ~self.null[a:b], span) for a, b in passes([len(t) for t in self.texts])]
         gather = lambda f, kind: np.concatenate([np.zeros(0, kind), *[getattr(p, f) for p in self.passes if len(p.doc)]]).astype(kind)
-        self.name, self.run, self.doc = gather("name", np.uint64), gather("run", np.uint64), gather("doc", np.int64)
+        self.name, self.run, self.doc = gather("name", np.uint64), gather("run", np.uint64) & _RUN_BITS, gather("doc", np.int64)
+        self.near = np.concatenate([np.zeros((0, 2), np.uint16), *[p.near for p in self.passes if len(p.doc)]])
 
     def entries(self, ranks: np.ndarray, doc: np.ndarray, name: np.ndarray | None = None):
         """Distinct (name, rank) with the smallest document; (order, group of each, first of each)."""
@@ -152,78 +165,114 @@ class _Part:
         return group, order[new]
 
 
-def _ship(part: int, kind: int, key: np.ndarray, rank: np.ndarray, ids: np.ndarray, buckets: int) -> pd.DataFrame:
-    """One row per bucket: keys, ranks and smallest ids of a part's entries."""
+def _narrow(values: np.ndarray, width: int) -> bytes:
+    """The low ``width`` bytes of each uint64."""
+    return np.ascontiguousarray(values.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width]).tobytes()
+
+
+def _wide(data: bytes, width: int) -> np.ndarray:
+    out = np.zeros((len(data) // width, 8), np.uint8)
+    out[:, :width] = np.frombuffer(data, np.uint8).reshape(-1, width)
+    return out.view("<u8").ravel()
+
+
+def _deal(key: np.ndarray, ids: np.ndarray, buckets: int):
+    """Entries by bucket and then id: (order, where each bucket begins)."""
     bucket = (key % np.uint64(buckets)).astype(np.int64)
-    order = np.argsort(bucket, kind="stable")
-    edge = np.searchsorted(bucket[order], np.arange(buckets + 1))
+    order = np.lexsort((ids, bucket))
+    return order, np.searchsorted(bucket[order], np.arange(buckets + 1))
+
+
+def _ship(part: int, kind: int, key: np.ndarray, rank: np.ndarray, near, ids: np.ndarray, buckets: int) -> pd.DataFrame:
+    """One row per bucket: keys, ranks and smallest ids (as steps) of a part's entries."""
+    order, edge = _deal(key, ids, buckets)
     rows = []
     for b in range(buckets):
         take = order[edge[b] : edge[b + 1]]
         if len(take):
-            mine = ids[take]
-            short = mine.min() >= 0 and mine.max() < 1 << 32
-            rows.append((b, part, kind, (key[take] // np.uint64(buckets)).astype(np.uint32).tobytes() if kind == 0 else b"", rank[take].tobytes(), mine.astype(np.uint32 if short else np.int64).tobytes(), take.astype(np.uint32).tobytes()))
-    return pd.DataFrame(rows, columns=["bucket", "part", "kind", "names", "ranks", "ids", "places"])
+            steps = np.diff(ids[take], prepend=ids[take[0]])
+            steps = steps.astype(np.uint32 if steps.max() < 1 << 32 else np.int64)
+            names = _narrow(key[take] // np.uint64(buckets), 3) if kind == 0 else b""
+            rows.append((b, part, kind, names, _narrow(rank[take], 6 if kind == 0 else 8), near[take].tobytes() if kind == 0 else b"", int(ids[take[0]]), steps.tobytes()))
+    return pd.DataFrame(rows, columns=_ROW_NAMES)
 
 
-_ROW = "bucket int, part long, kind int, names binary, ranks binary, ids binary, places binary"
-_BACK = "part long, kind int, places binary, least binary, fine binary"
+_ROW = "bucket int, part long, kind int, names binary, ranks binary, near binary, low long, steps binary"
+_BACK = "part long, kind int, bucket int, places binary, least binary, marks binary"
+_BACK_NAMES = ["part", "kind", "bucket", "places", "least", "marks"]
 
 
 def _settle(frame: pd.DataFrame) -> pd.DataFrame:
-    """Of one bucket: the smallest document of each rank, told to the parts that need it."""
+    """Of one bucket: the smallest document of each rank, told to the parts that need it.
+
+    Runs under one 16-byte rank that differ as runs are marked for reranking where their
+    32 bytes from the anchor on (1), or up to its end (2), are shared.
+    """
     if not len(frame):
-        return pd.DataFrame(columns=["part", "kind", "places", "least", "fine"])
-    kind = int(frame["kind"].iloc[0])
-    ranks = [np.frombuffer(x, np.uint64) for x in frame["ranks"]]
+        return pd.DataFrame(columns=_BACK_NAMES)
+    kind, bucket = int(frame["kind"].iloc[0]), int(frame["bucket"].iloc[0])
+    ranks = [_wide(x, 6 if kind == 0 else 8) for x in frame["ranks"]]
     sizes = np.array([len(r) for r in ranks])
-    ids = np.concatenate([np.frombuffer(x, np.uint32 if len(x) == 4 * n else np.int64).astype(np.int64) for x, n in zip(frame["ids"], sizes)])
-    places = np.concatenate([np.frombuffer(x, np.uint32) for x in frame["places"]])
+    ids = np.concatenate([low + np.cumsum(np.frombuffer(x, np.uint32 if len(x) == 4 * n else np.int64), dtype=np.int64) for x, low, n in zip(frame["steps"], frame["low"], sizes)])
     owner = np.repeat(np.arange(len(frame)), sizes)
+    places = (np.arange(len(ids)) - np.repeat(np.cumsum(sizes) - sizes, sizes)).astype(np.uint32)
     rank = np.concatenate(ranks)
-    name = np.concatenate([np.frombuffer(x, np.uint32) for x in frame["names"]]) if kind == 0 else np.zeros(len(rank), np.uint32)
-    order = np.lexsort((ids, rank, name))
-    name, rank, ids, places, owner = name[order], rank[order], ids[order], places[order], owner[order]
-    new_name = np.ones(len(rank), bool)
-    new_name[1:] = name[1:] != name[:-1]
-    new = new_name.copy()
-    new[1:] |= rank[1:] != rank[:-1]
-    least = ids[np.flatnonzero(new)[np.cumsum(new) - 1]]
-    runs = np.add.reduceat(new, np.flatnonzero(new_name))
-    fine = (runs > 1)[np.cumsum(new_name) - 1] if kind == 0 else np.zeros(len(rank), bool)
-    tell = np.flatnonzero(fine | (least < ids))
+    if kind == 0:
+        name = np.concatenate([_wide(x, 3) for x in frame["names"]])
+        near = np.concatenate([np.frombuffer(x, np.uint16).reshape(-1, 2) for x in frame["near"]])
+        order = np.lexsort((ids, rank, name))
+        name, near = name[order], near[order]
+    else:
+        order = np.lexsort((ids, rank))
+    rank, ids, places, owner = rank[order], ids[order], places[order], owner[order]
+    new = np.ones(len(rank), bool)
+    new[1:] = rank[1:] != rank[:-1]
+    if kind == 0:
+        new[1:] |= name[1:] != name[:-1]
+    first = np.flatnonzero(new)
+    least = ids[first[np.cumsum(new) - 1]]
+    marks = np.zeros(len(rank), np.uint8)
+    if kind == 0:
+        for side in (0, 1):
+            code = name[first] << np.uint64(16) | near[first, side].astype(np.uint64)
+            by = np.argsort(code, kind="stable")
+            same = np.zeros(len(by) + 1, bool)
+            same[1:-1] = code[by][1:] == code[by][:-1]
+            marks[first[by[same[1:] | same[:-1]]]] |= 1 << side
+    tell = np.flatnonzero((marks > 0) | (least < ids))
     tell = tell[np.argsort(owner[tell], kind="stable")]
     edge = np.searchsorted(owner[tell], np.arange(len(frame) + 1))
     parts, rows = frame["part"].to_numpy(), []
     for i in range(len(frame)):
         t = tell[edge[i] : edge[i + 1]]
         if len(t):
-            rows.append((int(parts[i]), kind, places[t].tobytes(), least[t].tobytes(), fine[t].tobytes()))
-    return pd.DataFrame(rows, columns=["part", "kind", "places", "least", "fine"])
+            rows.append((int(parts[i]), kind, bucket, places[t].tobytes(), least[t].tobytes(), marks[t].tobytes()))
+    return pd.DataFrame(rows, columns=_BACK_NAMES)
 
 
-def _told(answers: pd.DataFrame, kind: int, least: np.ndarray):
-    """``least`` per entry as corrected by the answers, and the fine marks."""
-    fine = np.zeros(len(least), bool)
+def _told(answers: pd.DataFrame, kind: int, key: np.ndarray, least: np.ndarray, buckets: int):
+    """``least`` per entry as corrected by the answers, and the marks."""
+    marks = np.zeros(len(least), np.uint8)
     mine = answers[answers["kind"] == kind]
-    for places, low, marks in zip(mine["places"], mine["least"], mine["fine"]):
-        at = np.frombuffer(places, np.uint32)
-        least[at] = np.frombuffer(low, np.int64)
-        fine[at] = np.frombuffer(marks, bool)
-    return least, fine
-
-
-def _coarse(part: _Part, answers: pd.DataFrame):
-    """Per run: whether it goes whole, and whether its windows must be reranked."""
+    if len(mine):
+        order, edge = _deal(key, least, buckets)
+        least = least.copy()
+        for bucket, places, low, mark in zip(mine["bucket"], mine["places"], mine["least"], mine["marks"]):
+            at = order[edge[bucket] + np.frombuffer(places, np.uint32)]
+            least[at] = np.frombuffer(low, np.int64)
+            marks[at] = np.frombuffer(mark, np.uint8)
+    return least, marks
+
+
+def _coarse(part: _Part, answers: pd.DataFrame, buckets: int):
+    """Per run: whether it goes whole, and the marks of its windows to rerank."""
     if not len(part.doc):
-        return np.zeros(0, bool), np.zeros(0, bool)
+        return np.zeros(0, bool), np.zeros(0, np.uint8)
     group, first = part.entries(part.run, part.doc, part.name)
-    least, fine = _told(answers, 0, part.ids[part.doc[first]].copy())
-    own = part.ids[part.doc]
-    whole = own > least[group]
+    least, marks = _told(answers, 0, part.name[first], part.ids[part.doc[first]], buckets)
+    whole = part.ids[part.doc] > least[group]
     # Copies of a run in larger documents go whole: what is left to rerank is its smallest document's.
-    return whole, fine[group] & ~whole
+    return whole, np.where(whole, 0, marks[group]).astype(np.uint8)
 
 
 def suffix_dedup(docs: DataFrame, span: int = 50, carry: str | None = None) -> DataFrame:
@@ -244,11 +293,11 @@ def suffix_dedup(docs: DataFrame, span: int = 50, carry: str | None = None) -> D
         if not len(part.doc):
             return pd.DataFrame(columns=_ROW_NAMES)
         group, first = part.entries(part.run, part.doc, part.name)
-        return _ship(int(key[0]), 0, part.name[first], part.run[first], part.ids[part.doc[first]], buckets)
+        return _ship(int(key[0]), 0, part.name[first], part.run[first], part.near[first], part.ids[part.doc[first]], buckets)
 
     def fine_windows(part: _Part, answers: pd.DataFrame):
         """Ranks and documents of the windows to rerank, and where they are."""
-        whole, fine = _coarse(part, answers)
+        whole, fine = _coarse(part, answers, buckets)
         ranks, docs_of, ats, at_pass, done = [], [], [], [], 0
         for i, p in enumerate(part.passes):
             n = len(p.doc)
@@ -271,7 +320,7 @@ def suffix_dedup(docs: DataFrame, span: int = 50, carry: str | None = None) -> D
         if not len(ranks):
             return pd.DataFrame(columns=_ROW_NAMES)
         group, first = part.entries(ranks, doc)
-        return _ship(int(key[0]), 1, ranks[first], ranks[first], part.ids[doc[first]], buckets)
+        return _ship(int(key[0]), 1, ranks[first], ranks[first], None, part.ids[doc[first]], buckets)
 
     def finish(key, frame, answers):
         if not len(frame):
@@ -281,7 +330,7 @@ def suffix_dedup(docs: DataFrame, span: int = 50, carry: str | None = None) -> D
         gone = np.zeros(0, bool)
         if len(ranks):
             group, first = part.entries(ranks, doc)
-            least, _ = _told(answers, 1, part.ids[doc[first]].copy())
+            least, _ = _told(answers, 1, ranks[first], part.ids[doc[first]], buckets)
             gone = part.ids[doc] > least[group]
         rows, done = [], 0
         for i, p in enumerate(part.passes):
@@ -313,4 +362,4 @@ def suffix_dedup(docs: DataFrame, span: int = 50, carry: str | None = None) -> D
     return dealt.groupBy("part").cogroup(coarse.union(fine).groupBy("part")).applyInPandas(finish, "doc_id long, n_bytes long, kept binary, spans array<struct<start:long,stop:long>>" + ", carried string" * bool(carry))
 
 
-_ROW_NAMES = ["bucket", "part", "kind", "names", "ranks", "ids", "places"]
+_ROW_NAMES = [x.split()[0] for x in _ROW.split(", ")]
