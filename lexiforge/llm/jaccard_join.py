@@ -1,23 +1,24 @@
 """N-gram Jaccard join with adaptive multi-match prefixes.
 
-Method.  Every text becomes a set of hashed word n-grams under one global order
-(the hash order).  If two sets of sizes a and b overlap in at least
-``ceil(t * max(a, b))`` members, their first ``size - ceil(t * size) + l``
-members share at least ``l`` (for any l up to both prefixes' own).  So a longer
-prefix buys a stronger test: each document picks the ``l`` with the least
-estimated cost from the document frequencies of its prefix members, and a pair
-is verified only if it shares ``min(l_x, l_y)`` of them.
+Method.  Every text becomes a set of hashed word n-grams.  Under one global order of
+the members, if two sets overlap in at least ``ceil(t * max(a, b))`` members, their
+first ``size - ceil(t * size) + l`` members share at least ``l`` (for any l up to both
+prefixes' own).  So a longer prefix buys a stronger test: each document picks the
+``l`` with the least estimated cost from the document frequencies of its prefix
+members, and a pair is verified only if it shares ``min(l_x, l_y)`` of them.
 
 1. Texts with equal sets fold into one set (``sid``), whatever the copies' number.
-2. Frequencies of prefix members over all sets; only shared members go on, and
-   a set with fewer than ``l`` shared members in its ``l``-prefix is out.
-3. Star round: each set is compared with the most central holder of its prefix
+2. Coarse prune, in hash order: a set of which fewer than ``l`` members of the
+   ``l``-prefix occur in any other set's prefix is out.
+3. What remains is weighed over whole sets: members of one set only come first, then
+   the others from rare to frequent.  A set that shares less than it needs is out;
+   the others choose their ``l``.
+4. Star round: each set is compared with the most central holder of its prefix
    members.  Sets so linked need no pairs among themselves.
-4. Pair round: sets of different stars that share enough prefix members.  Where
-   a member has many holders, tiles of sets meet tiles
-   (each meeting one matrix product) and return a spanning forest of their links.
-5. Links are verified on the whole sets, and components follow by distributed
-   label propagation.
+5. Pair round: sets of different stars that share enough prefix members.  Where
+   a member has many holders, tiles of sets meet tiles (each meeting one matrix
+   product) and return a spanning forest of their links.
+6. Components follow by distributed label propagation.
 
 Defined cases.  Null or wordless text: ``n_shingles`` 0, linked with nothing.
 Null doc_id: the row is returned, with the component of equal sets' smallest
@@ -32,7 +33,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, as_bytes, columns_free_of, mix, shingle_sets
+from .common import Scratch, as_bytes, columns_free_of, mix, shingle_sets, table_ceil
 
 #: Documents in an Arrow batch when whole texts go through Python.
 TEXT_ROWS = 512
@@ -40,6 +41,8 @@ TEXT_ROWS = 512
 PAIR_HOLDERS = 100
 #: Set members and sets in a tile, about.
 TILE_MEMBERS, TILE_SETS = 1 << 17, 256
+#: Members in a part when sets are weighed, about.
+PART_MEMBERS = 1 << 20
 
 
 def _need(n, num: int, den: int):
@@ -77,52 +80,111 @@ def _signatures(docs: DataFrame, n: int, num: int, den: int) -> DataFrame:
     return docs.mapInPandas(run, "doc_id long, n long, sid long, prefix array<long>")
 
 
-def _choose(num: int, den: int):
-    """Per set: prune by multi-match counts, then the cheapest l (0: out)."""
+def _prune(num: int, den: int):
+    """Sets whose multi-match counts leave room for a partner."""
 
     def run(batches):
         for batch in batches:
             keep = []
-            for n, ranks, dfs in zip(batch["n"], batch["ranks"], batch["dfs"]):
-                order = np.argsort(ranks, kind="stable")
-                ranks, dfs = np.asarray(ranks)[order], np.asarray(dfs)[order]
-                base = n - _need(n, num, den)
-                most = _extra(n)
-                l = np.arange(1, most + 1)
-                count = np.searchsorted(ranks, np.minimum(base + l, n))
+            for n, ranks in zip(batch["n"], batch["ranks"]):
+                need = _need(n, num, den)
                 # A partner may be as small as ceil(t * n): it offers this many.
-                sure = _extra(_need(n, num, den))
-                if (count[:sure] < l[:sure]).any():
-                    keep.append((0, 0.0))
-                    continue
-                mass = np.concatenate(([0], np.cumsum(dfs)))[count]
-                cost = mass + (mass / l) * (8 + n / 64)
-                cost[count < l] = np.inf  # never reached by this set itself
-                best = int(l[int(np.argmin(cost))])
-                keep.append((best, 1 - count[best - 1] / max(1, min(base + best, n))))
-            yield pd.DataFrame({"sid": batch["sid"], "n": batch["n"], "l": [k[0] for k in keep], "far": [k[1] for k in keep]})
+                l = np.arange(1, _extra(need) + 1)
+                count = np.searchsorted(np.sort(ranks), np.minimum(n - need + l, n))
+                keep.append(bool((count >= l).all()))
+            yield batch.loc[np.array(keep, bool), ["sid", "n"]]
 
     return run
 
 
+def _weigh(sets: DataFrame, num: int, den: int) -> DataFrame:
+    """sid, n, l, far, heads (the chosen prefix's shared members), body (all shared members).
+
+    Parts of about PART_MEMBERS members send each distinct member once with its count;
+    buckets add the counts up and answer; the sets of a part are then ordered.
+    """
+    spark = sets.sparkSession
+    total = sets.agg(F.sum("n")).first()[0] or 0
+    parts, buckets = table_ceil(spark, total, PART_MEMBERS), table_ceil(spark, total, 2 * PART_MEMBERS)
+    dealt = sets.withColumn("part", F.pmod(F.xxhash64("sid"), F.lit(parts)))
+
+    def distinct(frame):
+        flat = np.concatenate([np.zeros(0, np.uint64), *[np.frombuffer(m, np.uint64) for m in frame["members"]]])
+        members, at, counts = np.unique(flat, return_inverse=True, return_counts=True)
+        bucket = (members % np.uint64(buckets)).astype(np.int64)
+        order = np.argsort(bucket, kind="stable")
+        return members, at, counts, order, np.searchsorted(bucket[order], np.arange(buckets + 1))
+
+    def count(key, frame):
+        members, _, counts, order, edge = distinct(frame)
+        rows = []
+        for b in range(buckets):
+            take = order[edge[b] : edge[b + 1]]
+            if len(take):
+                rows.append((b, int(key[0]), members[take].tobytes(), counts[take].astype(np.uint32).tobytes()))
+        return pd.DataFrame(rows, columns=["bucket", "part", "members", "counts"])
+
+    def add_up(frame):
+        if not len(frame):
+            return pd.DataFrame(columns=["part", "bucket", "places", "counts"])
+        members = [np.frombuffer(m, np.uint64) for m in frame["members"]]
+        sizes = [len(m) for m in members]
+        _, at = np.unique(np.concatenate(members), return_inverse=True)
+        sums = np.bincount(at, np.concatenate([np.frombuffer(c, np.uint32) for c in frame["counts"]])).astype(np.int64)[at]
+        rows, done = [], 0
+        for part, bucket, k in zip(frame["part"], frame["bucket"], sizes):
+            mine = sums[done : done + k]
+            done += k
+            places = np.flatnonzero(mine > 1)
+            if len(places):
+                rows.append((int(part), int(bucket), places.astype(np.uint32).tobytes(), mine[places].tobytes()))
+        return pd.DataFrame(rows, columns=["part", "bucket", "places", "counts"])
+
+    def choose(key, frame, answers):
+        rows = []
+        if len(frame):
+            members, at, _, order, edge = distinct(frame)
+            df = np.ones(len(members), np.int64)
+            for bucket, places, counts in zip(answers["bucket"], answers["places"], answers["counts"]):
+                df[order[edge[bucket] + np.frombuffer(places, np.uint32)]] = np.frombuffer(counts, np.int64)
+            done = 0
+            for sid, n in zip(frame["sid"], frame["n"]):
+                mine = at[done : done + n]
+                done += n
+                mine = mine[df[mine] > 1]
+                spare = n - _need(n, num, den) - (n - len(mine))
+                if spare < 0:
+                    continue
+                ranked = mine[np.argsort(df[mine], kind="stable")]
+                # The first spare + l shared members are the l-prefix without the set's own.
+                l = np.arange(1, max(1, min(len(mine) - spare, n // 4)) + 1)
+                mass = np.cumsum(df[ranked])[np.minimum(spare + l, len(mine)) - 1]
+                best = int(l[int(np.argmin(mass + (mass / l) * (8 + n / 64)))])
+                rows.append((sid, n, best, 1 - len(mine) / n, members[ranked[: spare + best]].view(np.int64), members[mine].tobytes()))
+        return pd.DataFrame(rows, columns=["sid", "n", "l", "far", "heads", "body"])
+
+    told = dealt.groupBy("part").applyInPandas(count, "bucket int, part long, members binary, counts binary").groupBy("bucket").applyInPandas(add_up, "part long, bucket int, places binary, counts binary")
+    return dealt.groupBy("part").cogroup(told.groupBy("part")).applyInPandas(choose, "sid long, n long, l int, far double, heads array<long>, body binary")
+
+
 def _verify(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
     """Pairs (x, y) whose whole sets pass the threshold."""
-    a = sets.select(F.col("sid").alias("x"), F.col("members").alias("mx"))
-    b = sets.select(F.col("sid").alias("y"), F.col("members").alias("my"))
+    a = sets.select(F.col("sid").alias("x"), F.col("n").alias("nx"), F.col("body").alias("mx"))
+    b = sets.select(F.col("sid").alias("y"), F.col("n").alias("ny"), F.col("body").alias("my"))
 
     def run(batches):
         for batch in batches:
             ok = []
-            for p, q in zip(batch["mx"], batch["my"]):
+            for m, n, p, q in zip(batch["nx"], batch["ny"], batch["mx"], batch["my"]):
                 p, q = np.frombuffer(p, np.uint64), np.frombuffer(q, np.uint64)
                 at = np.searchsorted(q, p)
                 at[at == len(q)] = 0
                 both = int((q[at] == p).sum()) if len(q) else 0
-                ok.append(den * both >= num * (len(p) + len(q) - both))
+                ok.append(den * both >= num * (m + n - both))
             ok = np.array(ok, bool)
             yield batch.loc[ok, ["x", "y"]]
 
-    return pairs.join(a, "x").join(b, "y").select("x", "y", "mx", "my").mapInPandas(run, "x long, y long")
+    return pairs.join(a, "x").join(b, "y").select("x", "y", "nx", "ny", "mx", "my").mapInPandas(run, "x long, y long")
 
 
 def _forest(left, right, ok):
@@ -147,9 +209,9 @@ def _tile_links(num: int, den: int):
     def run(batches):
         for batch in batches:
             edges = []
-            for same, xs, mx, ys, my in zip(*[batch[c] for c in ("same", "sids", "bodies", "sids2", "bodies2")]):
+            for same, xs, nx, mx, ys, ny, my in zip(*[batch[c] for c in ("same", "sids", "ns", "bodies", "sids2", "ns2", "bodies2")]):
                 sets = [np.frombuffer(m, np.uint64) for m in (*mx, *my)]
-                k, sizes = len(xs), np.array([len(m) for m in sets])
+                k, sizes, full = len(xs), np.array([len(m) for m in sets]), np.array([*nx, *ny], np.int64)
                 values, column = np.unique(np.concatenate(sets), return_inverse=True)
                 row = np.repeat(np.arange(len(sets)), sizes)
                 here = np.bincount(column[row < k], minlength=len(values)) > 0
@@ -164,7 +226,7 @@ def _tile_links(num: int, den: int):
                     hold[row[part], column[part] - at] = 1
                     both += hold[:k] @ hold[k:].T
                 both = both.astype(np.int64)
-                ok = den * both >= num * (sizes[:k, None] + sizes[None, k:] - both)
+                ok = den * both >= num * (full[:k, None] + full[None, k:] - both)
                 edges += _forest(xs, ys, np.triu(ok, 1) if same else ok)
             yield pd.DataFrame({"x": np.array([e[0] for e in edges], np.int64), "y": np.array([e[1] for e in edges], np.int64)})
 
@@ -211,16 +273,9 @@ def jaccard_components(docs: DataFrame, n: int = 5, num: int = 80, den: int = 10
     )
     tokens = scratch.cut(tokens)
     shared = scratch.cut(tokens.groupBy("h").agg(F.count("*").alias("df")).filter("df > 1"))
-    held = tokens.join(shared, "h").groupBy("sid", "n").agg(F.collect_list("rank").alias("ranks"), F.collect_list("df").alias("dfs"), F.collect_list("h").alias("hs"))
-    held = scratch.cut(held)
+    held = tokens.join(shared, "h").groupBy("sid", "n").agg(F.collect_list("rank").alias("ranks"))
+    chosen = scratch.cut(held.mapInPandas(_prune(num, den), "sid long, n long"))
     scratch.drop(tokens, shared)
-    chosen = scratch.cut(held.select("sid", "n", "ranks", "dfs").mapInPandas(_choose(num, den), "sid long, n long, l int, far double").filter("l > 0"))
-
-    # Postings of the sets that remain, each cut to the prefix it chose.
-    base = F.col("n") - F.ceil(F.col("n") * F.lit(num) / F.lit(den)) + F.col("l")
-    posts = held.select("sid", F.arrays_zip("ranks", "hs").alias("z")).join(chosen, "sid").select("sid", "n", "l", "far", F.explode("z").alias("z"), base.alias("p")).filter("z.ranks < p").select("sid", "n", "l", "far", F.col("z.hs").alias("h"))
-    posts = scratch.cut(posts)
-    scratch.drop(held)
 
     # Whole sets of those that remain, from their texts.
     want = names.join(chosen.select("sid"), "sid", "left_semi").select("sid", F.col("rep").alias("doc_id"))
@@ -231,8 +286,12 @@ def jaccard_components(docs: DataFrame, n: int = 5, num: int = 80, den: int = 10
                 sets = shingle_sets(as_bytes(part["text"]), n)
                 yield pd.DataFrame({"sid": part["sid"], "n": [len(s) for s in sets], "members": [s.tobytes() for s in sets]})
 
-    sets = docs.join(want, "doc_id").select("sid", "text").mapInPandas(whole, "sid long, n long, members binary")
-    sets = scratch.cut(sets.join(chosen.select("sid", "n"), ["sid", "n"], "left_semi").dropDuplicates(["sid"]).select("sid", "members"))
+    full = docs.join(want, "doc_id").select("sid", "text").mapInPandas(whole, "sid long, n long, members binary")
+    full = scratch.cut(full.join(chosen, ["sid", "n"], "left_semi").dropDuplicates(["sid"]))
+    weighed = scratch.cut(_weigh(full, num, den))
+    scratch.drop(full)
+    chosen, sets = weighed.select("sid", "n", "l"), weighed.select("sid", "n", "body")
+    posts = scratch.cut(weighed.select("sid", "n", "l", "far", F.explode("heads").alias("h")))
 
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "64")
     # Star round.
@@ -268,10 +327,10 @@ def jaccard_components(docs: DataFrame, n: int = 5, num: int = 80, den: int = 10
     touch = scratch.cut(touch)
     other = touch.select("h", F.col("tile").alias("other"))
     facing = scratch.cut(touch.join(other, "h").filter("tile <= other").select("tile", "other").distinct())
-    bodies = scratch.cut(tiles.join(sets, "sid").groupBy("tile").agg(F.collect_list("sid").alias("sids"), F.collect_list("members").alias("bodies")))
+    bodies = scratch.cut(tiles.join(sets, "sid").groupBy("tile").agg(F.collect_list(F.struct("sid", "n", "body")).alias("all")).select("tile", F.col("all.sid").alias("sids"), F.col("all.n").alias("ns"), F.col("all.body").alias("bodies")))
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "4")
-    right = bodies.select(F.col("tile").alias("other"), F.col("sids").alias("sids2"), F.col("bodies").alias("bodies2"))
-    blocks = facing.join(bodies, "tile").join(right, "other").select((F.col("tile") == F.col("other")).alias("same"), "sids", "bodies", "sids2", "bodies2")
+    right = bodies.select(F.col("tile").alias("other"), F.col("sids").alias("sids2"), F.col("ns").alias("ns2"), F.col("bodies").alias("bodies2"))
+    blocks = facing.join(bodies, "tile").join(right, "other").select((F.col("tile") == F.col("other")).alias("same"), "sids", "ns", "bodies", "sids2", "ns2", "bodies2")
     tiled = scratch.cut(blocks.mapInPandas(_tile_links(num, den), "x long, y long"))
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(TEXT_ROWS))
     links = scratch.cut(linked.union(pairs).union(tiled))
