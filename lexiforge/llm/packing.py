@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from .common import columns_free_of, table_ceil
 
 #: Words remembered by one Python worker; beyond it the memory starts anew.
-WORDS_HELD = 600_000
+WORDS_HELD = 1_500_000
 #: Pieces in a shard, about.
 SHARD_PIECES = 20_000
 
@@ -77,7 +77,8 @@ class Encoder:
         out: list = [None] * len(texts)
         split = []
         for i, text in enumerate(texts):
-            if _PLAIN.fullmatch(text) is None or any(s in text for s in self.special):
+            plain = text.isascii() and text.isprintable() or _PLAIN.fullmatch(text) is not None
+            if not plain or "<|" in text and any(s in text for s in self.special):
                 out[i] = np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32)
             else:
                 split.append((i, _PATTERN.findall(text.lower())))
