@@ -36,8 +36,7 @@ from .common import columns_free_of
 
 SIGN = "▁"
 BYTE_COST = 10.0
-WORDS_HELD = 300_000
-_WORDS = re.compile(" *[^ \n]+| +|\n")
+WORDS_HELD = 1_200_000
 
 
 class Vocabulary:
@@ -64,12 +63,20 @@ class Vocabulary:
         self.least = least - BYTE_COST
         self.longest = max(map(len, self.pieces))
         self.whole = any(re.search(r"[^ ] |\n.|.\n", p) for p in self.pieces)
+        # Marks that no piece has right after another character: the lattice falls apart before them.
+        joined = {b for p in self.pieces for a, b in zip(p, p[1:]) if a != " " and a != b}
+        apart = "".join(c for c in ",.;:!?|%$#&*" if c not in joined)
+        marks = re.escape(apart) or r"\n"
+        self.split = re.compile(f" *[{marks}]*[^ \n{marks}]+| *[{marks}]+| +|\n" if apart else " *[^ \n]+| +|\n")
+        # Every beginning of a piece, with the piece's id and score if it is one itself.
+        self.begun: dict[str, tuple[int, float] | None] = {p[:k]: None for p in self.pieces for k in range(1, len(p))}
+        self.begun.update(self.pieces)
 
     def words(self, text: str) -> list[str]:
         """A space goes before the text, as the model's dummy prefix."""
         if not text:
             return []
-        return [" " + text] if self.whole else _WORDS.findall(" " + text)
+        return [" " + text] if self.whole else self.split.findall(" " + text)
 
     def edges(self, word: str, end: int):
         """(start, ids, score) of the pieces that end at ``end``."""
@@ -83,28 +90,35 @@ class Vocabulary:
 
     def best_two(self, word: str):
         """(best score, ids, loss of the second best segmentation or infinity)."""
-        pieces, longest, n = self.pieces, self.longest, len(word)
-        best, second, back = [0.0] + [-np.inf] * n, [-np.inf] * (n + 1), [None] * (n + 1)
-        for end in range(1, n + 1):
-            top, other, link = -np.inf, -np.inf, None
-            for start in range(end - 1, max(-1, end - 1 - longest), -1):
-                found = pieces.get(word[start:end])
-                if found:
-                    score = found[1]
-                elif end - start == 1:
-                    score = self.least * len(word[start].encode("utf-8", "replace"))
+        begun, pieces, n = self.begun, self.pieces, len(word)
+        low = -np.inf
+        best, second, back = [0.0] + [low] * n, [low] * (n + 1), [0] * (n + 1)
+        for start in range(n):
+            top, next_best = best[start], second[start]
+            for end in range(start + 1, n + 1):
+                key = word[start:end]
+                if key in begun:
+                    found = begun[key]
+                    if found:
+                        score = found[1]
+                    elif end == start + 1:
+                        score = self.least * len(key.encode("utf-8", "replace"))
+                    else:
+                        continue
+                elif end == start + 1:
+                    score = self.least * len(key.encode("utf-8", "replace"))
                 else:
-                    continue
-                s, t = best[start] + score, second[start] + score
-                if s > top:
-                    other = top if top > t else t
-                    top, link = s, start
+                    break
+                s, t = top + score, next_best + score
+                was = best[end]
+                if s > was:
+                    best[end], back[end] = s, start
+                    second[end] = was if was > t else t
                 else:
                     if s > t:
                         t = s
-                    if t > other:
-                        other = t
-            best[end], second[end], back[end] = top, other, link
+                    if t > second[end]:
+                        second[end] = t
         ids, end = [], n
         while end:
             start = back[end]
