@@ -28,7 +28,7 @@ from .common import Scratch, as_bytes, columns_free_of, held_out, passes, word_h
 SAMPLE = 20_000
 FEATURES = 256
 RIDGE = 1e-2
-#: Partitions that the bounded training rows are dealt into.
+#: Tasks that sum the bounded training rows.
 FIT_PARTS = 8
 
 _CLASSES = [range(65, 91), range(97, 123), range(48, 58), b" ", b"\n", b"\t\r", b".", b",", b"!", b"?", b"|", b"%$#*&@^~", b"<>", b"{}()[];=", b"\"'`", b"-_/\\+", b":", range(128, 256)]
@@ -140,7 +140,9 @@ def fit(stats: DataFrame, labels: DataFrame, label: str, sample: int = SAMPLE, f
     if total > sample:
         # Hashes are uniform: this keeps about ``sample`` rows.
         rows = rows.filter(F.pmod("h", F.lit(1 << 20)) < int((1 << 20) * sample / total))
-    rows = rows.select("stats", "label", F.pmod(F.shiftright("h", 24), F.lit(2)).alias("half"), "h").repartition(FIT_PARTS, "h").drop("h")
+    rows = rows.select("stats", "label", F.pmod(F.shiftright("h", 24), F.lit(2)).alias("half"))
+    # The sample is written by as many tasks as hold it and then read by a few, so that few partial sums meet.
+    rows = scratch.cut(rows).coalesce(FIT_PARTS)
     first = rows.first()
     if first is None:
         return Model(np.zeros(1), np.ones(1), 1, 1)
