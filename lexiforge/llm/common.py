@@ -8,6 +8,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import tempfile
 import uuid
 
@@ -18,6 +20,23 @@ from pyspark.sql import DataFrame, SparkSession
 PASS_BYTES = 1 << 20
 
 
+#: What operators remember in a Python worker (word tables); Spark reuses workers.
+MEMORIES: dict[str, dict] = {}
+
+
+def turn_to(operator: str) -> None:
+    """Drop what other operators remember in this worker, and give the memory back."""
+    others = [m for name, m in MEMORIES.items() if name != operator and m]
+    for memory in others:
+        memory.clear()
+    if others:
+        gc.collect()
+        try:
+            ctypes.CDLL(None).malloc_trim(0)
+        except (OSError, AttributeError):
+            pass  # not glibc
+
+
 class Scratch:
     """Intermediate tables of one operator call, in the shared checkpoint folder."""
 
@@ -187,5 +206,6 @@ def shingle_sets(texts: list[bytes], n: int) -> list[np.ndarray]:
 
 
 def as_bytes(values) -> list[bytes]:
-    """UTF-8 of each text; null is empty."""
+    """UTF-8 of each text; null is empty.  Tables kept for tokenizers are dropped first."""
+    turn_to("bytes")
     return [v.encode("utf-8", "replace") if isinstance(v, str) else b"" for v in values]

@@ -26,10 +26,10 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import columns_free_of, table_ceil
+from .common import MEMORIES, columns_free_of, turn_to
 
 #: Words remembered by one Python worker; beyond it the memory starts anew.
-WORDS_HELD = 1_500_000
+WORDS_HELD = 1_200_000
 #: Pieces in a shard, about.
 SHARD_PIECES = 20_000
 
@@ -97,10 +97,11 @@ class Encoder:
         return out
 
 
-_ENCODERS: dict[str, Encoder] = {}
+_ENCODERS: dict[str, Encoder] = MEMORIES.setdefault("packing", {})
 
 
 def encoder(path: str) -> Encoder:
+    turn_to("packing")
     if path not in _ENCODERS:
         _ENCODERS[path] = Encoder(path)
     return _ENCODERS[path]

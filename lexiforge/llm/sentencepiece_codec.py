@@ -32,7 +32,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 
-from .common import columns_free_of
+from .common import MEMORIES, columns_free_of, turn_to
 
 SIGN = "▁"
 BYTE_COST = 10.0
@@ -224,10 +224,11 @@ class Codec:
         return b"".join([shown[i] for i in ids])[1:].decode("utf-8", "replace")
 
 
-_CODECS: dict[str, Codec] = {}
+_CODECS: dict[str, Codec] = MEMORIES.setdefault("sentencepiece", {})
 
 
 def codec(path: str) -> Codec:
+    turn_to("sentencepiece")
     if path not in _CODECS:
         _CODECS[path] = Codec(path)
     return _CODECS[path]

@@ -38,7 +38,9 @@ from pyspark.sql import functions as F
 
 from .common import _BYTE, as_bytes, mix, passes, table_ceil, total_bytes
 
-PART_BYTES = 6 << 20
+PART_BYTES = 4 << 20
+#: Bytes of text ranked in one numpy pass.
+PASS = 1 << 19
 BUCKET_BYTES = 12 << 20
 ANCHOR = 16
 #: Bits of a run's rank that are sent; it is compared under one 16-byte rank only.
@@ -146,7 +148,7 @@ class _Part:
         self.carried = frame["carried"].to_numpy()[order] if "carried" in frame else [None] * len(order)
         self.texts, self.ids, self.null = [texts[i] for i in order], ids[order], null[order]
         self.span = span
-        self.passes = [_Pass(self.texts[a:b], a, ~self.null[a:b], span) for a, b in passes([len(t) for t in self.texts])]
+        self.passes = [_Pass(self.texts[a:b], a, ~self.null[a:b], span) for a, b in passes([len(t) for t in self.texts], PASS)]
         gather = lambda f, kind: np.concatenate([np.zeros(0, kind), *[getattr(p, f) for p in self.passes if len(p.doc)]]).astype(kind)
         self.name, self.run, self.doc = gather("name", np.uint64), gather("run", np.uint64) & _RUN_BITS, gather("doc", np.int64)
         self.near = np.concatenate([np.zeros((0, 2), np.uint16), *[p.near for p in self.passes if len(p.doc)]])
