@@ -1,6 +1,361 @@
-def queries():
-    return {}
+"""Queries of the engine over the test tables, with the SQL that checks them."""
 
+from __future__ import annotations
 
-def oracle_sql():
-    return {}
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..config import DEFAULT
+from ..functions import text as T
+from ..functions.embedding import HashEmbedder, embed_column, embed_distinct
+from ..functions.vectors import rescale
+from ..operators import chunking, search
+from ..operators.sentences import explode_sentences, sentences
+from ..sources import extract
+
+K = DEFAULT.limit
+
+
+def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{table}.parquet")
+
+
+def _vectors(spark, d):
+    return read(spark, d, "embeddings").select("vec_id", "label", F.col("embedding").cast("array<double>").alias("vector"))
+
+
+def _query(vectors: DataFrame, vec_id: int = 0):
+    """The vector of one id, as a column of literals (one row of a stated id)."""
+    row = vectors.filter(F.col("vec_id") == vec_id).select("vector").first()
+    return F.array(*[F.lit(x) for x in row["vector"]]) if row else F.lit(None).cast("array<double>")
+
+
+def _tokens(vectors: DataFrame) -> DataFrame:
+    """Three query tokens: the vectors of ids 0 to 2."""
+    return vectors.filter("vec_id < 3").select(F.col("vec_id").alias("token"), F.col("vector").alias("query"))
+
+
+def cosine_topk(spark, d):
+    v = _vectors(spark, d)
+    return search.cosine_topk(v, "vector", _query(v), K, "vec_id")
+
+
+def filtered_topk(spark, d):
+    v = _vectors(spark, d)
+    return search.cosine_topk(v.filter("label = 3"), "vector", _query(v), K, "vec_id")
+
+
+def _grouped(v):
+    return v.select(F.expr("vec_id div 10").alias("doc"), "vector")
+
+
+def maxsim_topk(spark, d):
+    v = _vectors(spark, d)
+    return search.topk(search.maxsim_scores(_grouped(v), _tokens(v), "doc"), K, "doc")
+
+
+def _patches(v):
+    """Pages of 16 vectors on a grid of four by four."""
+    return v.select(F.expr("vec_id div 16").alias("page"), F.expr("(vec_id % 16) div 4").alias("row"), F.expr("vec_id % 4").alias("col"), "vector")
+
+
+def _cells(pooled, keep):
+    return pooled.select("page", keep, F.posexplode("vector").alias("place", "value")).select("page", keep, "place", F.round("value", 6).alias("value"))
+
+
+def mean_pool_rows(spark, d):
+    return _cells(search.mean_pool(_patches(_vectors(spark, d)), "row"), "row")
+
+
+def mean_pool_columns(spark, d):
+    return _cells(search.mean_pool(_patches(_vectors(spark, d)), "col"), "col")
+
+
+def prefetch_rerank(spark, d):
+    v = _vectors(spark, d)
+    patches = _patches(v)
+    pooled = [search.mean_pool(patches, keep).select("page", "vector") for keep in ("col", "row")]
+    return search.prefetch_rerank(patches.select("page", "vector"), pooled, _tokens(v), 5, 3, "page")
+
+
+def score_rescale(spark, d):
+    v = _vectors(spark, d)
+    scored = v.select("vec_id", F.round(search.cosine(F.col("vector"), _query(v)), 6).alias("score"))
+    return scored.select("vec_id", F.round(rescale(F.col("score")), 6).alias("score"))
+
+
+def hybrid_merge(spark, d):
+    v = _vectors(spark, d)
+    text = search.cosine_topk(v.filter("label < 5"), "vector", _query(v), K, "vec_id")
+    image = search.topk(search.maxsim_scores(_grouped(v), _tokens(v), "doc"), K, "doc")
+    return search.merge([("text", text.withColumnRenamed("vec_id", "key")), ("image", image.withColumnRenamed("doc", "key"))]).select("modality", "rank", "key", "score")
+
+
+def sentence_split(spark, d):
+    return explode_sentences(read(spark, d, "documents"))
+
+
+def _chunks(spark, d, **how):
+    docs = read(spark, d, "documents")
+    return chunking.chunk(docs, sentences(F.col("text")), **how)
+
+
+def chunk_pack(spark, d):
+    return _chunks(spark, d)
+
+
+def chunk_balanced(spark, d):
+    return _chunks(spark, d, strategy="balanced")
+
+
+def chunk_semantic(spark, d):
+    return _chunks(spark, d, embedder=HashEmbedder())
+
+
+def word_wrap(spark, d):
+    return _chunks(spark, d, strategy="wrap")
+
+
+def long_sentence_split(spark, d):
+    long = explode_sentences(read(spark, d, "documents")).filter(F.length("sentence") > DEFAULT.max_chars)
+    return long.select("doc_id", "sentence_ix", F.posexplode(chunking.long_pieces(F.col("sentence"))).alias("piece_ix", "piece")).select("doc_id", "sentence_ix", "piece_ix", "piece.text", "piece.length")
+
+
+def sentence_hash(spark, d):
+    return explode_sentences(read(spark, d, "documents")).select("doc_id", "sentence_ix", T.sentence_hash(F.col("sentence")).alias("hash"))
+
+
+def embed_dedup(spark, d):
+    turns = read(spark, d, "conversations").select("conv_id", "turn", "text")
+    found = embed_distinct(turns, "text", HashEmbedder())
+    # The vector's first coordinate that is not zero stands for it.
+    return found.select("conv_id", "turn", "hash", F.round(F.array_max("vector"), 6).alias("top"), F.size(F.filter("vector", lambda x: x > 0)).alias("buckets"))
+
+
+def natural_key(spark, d):
+    """Over the keys of a JSON object per order: fixed names in three spellings."""
+    keys = F.explode(F.array(*[F.concat(F.lit(p), F.regexp_replace("o_orderpriority", "[^A-Za-z]", "")) for p in ("releaseYear", "order_status", "HTTPServer")]))
+    return read(spark, d, "orders").select("o_orderkey", keys.alias("key")).select("o_orderkey", "key", T.natural_key(F.col("key")).alias("human"))
+
+
+def html_text(spark, d):
+    return read(spark, d, "pages").select("page_id", extract.html_text(F.col("html")).alias("text"))
+
+
+def markdown_text(spark, d):
+    return read(spark, d, "documents").select("doc_id", extract.markdown_text(F.col("text")).alias("text"))
+
+
+def json_flatten(spark, d):
+    """A JSON document per part: two levels, with texts of both sides of the threshold."""
+    note = F.concat(F.lit("a part that is of type "), "p_type")
+    doc = F.to_json(F.struct(F.col("p_name").alias("name"), F.col("p_partkey").alias("id"), note.alias("longNote"), F.struct(F.col("p_brand").alias("title"), F.lit("short").alias("brief"), F.concat(F.lit("kept under the brand "), "p_brand").alias("storage_note")).alias("brand")))
+    flat = read(spark, d, "part").select("p_partkey", extract.json_texts(doc).alias("texts"))
+    return flat.select("p_partkey", F.posexplode("texts").alias("ix", "text"))
+
+
+def csv_text(spark, d):
+    """A CSV file per customer, with a header and a line per order."""
+    line = F.concat_ws(",", F.col("o_orderkey").cast("string"), "o_orderstatus", F.lit(""), F.concat(F.lit('"'), "o_orderpriority", F.lit(', first"')))
+    files = read(spark, d, "orders").groupBy("o_custkey").agg(F.array_sort(F.collect_list(F.struct("o_orderkey", line.alias("line")))).alias("rows"))
+    content = F.concat(F.lit("key,status,note,priority\n"), F.array_join(F.transform("rows", lambda r: r["line"]), "\n"))
+    return files.select("o_custkey", extract.csv_text(content, 4).alias("text"))
+
+
+def xml_text(spark, d):
+    xml = F.concat(F.lit("<part key='k'>"), "p_name", F.lit("<brand><b>"), "p_brand", F.lit("</b>tail</brand>after<size>"), F.col("p_size").cast("string"), F.lit("</size></part>"))
+    return read(spark, d, "part").select("p_partkey", extract.xml_text(xml).alias("text"))
+
+
+def doc_lookup(spark, d):
+    return read(spark, d, "documents").filter("doc_id = 7").select("doc_id", "source", "n_chars")
+
+
+def doc_delete(spark, d):
+    return read(spark, d, "documents").filter("doc_id <> 7").select("doc_id", "source", "n_chars")
+
+
+def catalog(spark, d):
+    return read(spark, d, "documents").select(F.col("source").alias("collection")).distinct()
+
+
+def tenant_filter(spark, d):
+    docs = read(spark, d, "documents").select("doc_id", F.col("lang").alias("client"), F.col("source").alias("bot_id"))
+    return docs.filter(search.tenant("en", "src3"))
+
+
+def base64_roundtrip(spark, d):
+    coded = F.concat(F.lit("data:text/plain;base64,"), F.base64(F.col("text").cast("binary")))
+    return read(spark, d, "documents").select("doc_id", T.decode_text(T.base64_payload(coded)).alias("text"))
+
+
+def file_routes(spark, d):
+    """Names made of urls' last segments: extensions of both cases."""
+    name = F.concat(F.lit("dir.v1/"), "p_brand", F.lit("."), F.element_at(F.array(*[F.lit(x) for x in ("txt", "TXT", "pdf", "doc", "json")]), (F.col("p_partkey") % 5 + 1).cast("int")))
+    ext = T.extension(F.col("name"))
+    kind = F.when(ext.isin(*DEFAULT.text_formats), "text").when(ext.isin(*DEFAULT.image_formats), "image").otherwise("rejected")
+    return read(spark, d, "part").select("p_partkey", name.alias("name")).select("p_partkey", T.basename(F.col("name")).alias("base"), ext.alias("ext"), T.extension_lower(F.col("name")).alias("lowered"), kind.alias("kind"))
+
+
+def point_payload(spark, d):
+    docs = read(spark, d, "documents")
+    return docs.select(F.sha2(F.concat_ws(":", "doc_id", F.lit("0")), 256).alias("id"), F.col("doc_id").cast("string").alias("doc_id"), F.concat("source", F.lit(".txt")).alias("doc_name"), F.col("lang").alias("client"), F.length("text").cast("long").alias("length"))
+
+
+def page_batches(spark, d):
+    pages = read(spark, d, "pages")
+    return pages.select("page_id", F.concat(F.lit("doc_"), F.col("page_id").cast("string")).alias("page_key"), F.expr(f"page_id div {DEFAULT.page_batch}").alias("batch"))
+
+
+def search_documents(spark, d):
+    """Chunks of all documents, embedded and ranked against one query text."""
+    embedder = HashEmbedder()
+    chunks = chunk_pack(spark, d).withColumn("key", F.struct("doc_id", "chunk_ix"))
+    vector = [float(x) for x in embedder([QUERY_TEXT])[0]]
+    points = chunks.select("key", embed_column(F.col("text"), embedder).alias("vector"))
+    best = search.cosine_topk(points, "vector", F.array(*[F.lit(x) for x in vector]), K, "key")
+    return best.select("key.doc_id", "key.chunk_ix", F.round(rescale(F.col("score")), 6).alias("score"))
+
+
+
+_QUERIES = (
+    cosine_topk, filtered_topk, maxsim_topk, mean_pool_rows, mean_pool_columns, prefetch_rerank, score_rescale, hybrid_merge, sentence_split, chunk_pack, chunk_balanced, chunk_semantic, long_sentence_split,
+    word_wrap, sentence_hash, embed_dedup, natural_key, html_text, markdown_text, json_flatten, csv_text, xml_text, doc_lookup, doc_delete, catalog, tenant_filter, base64_roundtrip, file_routes, point_payload, page_batches, search_documents,
+)
+
+
+def queries() -> dict[str, Callable]:
+    return {f.__name__: f for f in _QUERIES}
+
+
+_COS = "list_cosine_similarity(embedding::DOUBLE[], (SELECT embedding::DOUBLE[] FROM embeddings WHERE vec_id = 0))"
+_PAIR = "list_cosine_similarity(v, q)"
+_TOK = "(SELECT vec_id AS token, embedding::DOUBLE[] AS q FROM embeddings WHERE vec_id < 3)"
+
+
+def _maxsim(source: str, key: str) -> str:
+    return f"(SELECT {key}, round(sum(best), 6) AS score FROM (SELECT {key}, token, max({_PAIR}) AS best FROM {source}, {_TOK} GROUP BY ALL) GROUP BY {key})"
+
+
+_PATCH = "(SELECT vec_id // 16 AS page, (vec_id % 16) // 4 AS row, vec_id % 4 AS col, embedding::DOUBLE[] AS v FROM embeddings)"
+
+
+def _pool(keep: str) -> str:
+    return f"""SELECT page, {keep}, place, avg(x) AS value FROM (SELECT page, {keep}, unnest(v) AS x, unnest(range(0, 64)) AS place FROM {_PATCH}) GROUP BY ALL"""
+
+
+def _pooled(keep: str) -> str:
+    return f"(SELECT page, list(value ORDER BY place) AS v FROM ({_pool(keep)}) GROUP BY page, {keep})"
+
+
+_SENT = r"""sents AS (
+    SELECT doc_id, (row_number() OVER (PARTITION BY doc_id ORDER BY i) - 1)::INTEGER AS sentence_ix, s AS sentence FROM (
+        SELECT doc_id, unnest(parts) AS s, unnest(range(0, len(parts))) AS i FROM (
+            SELECT doc_id, string_split(regexp_replace(trim(text), '([.!?])[ \t\n\x0B\f\r]+', '\1' || chr(1), 'g'), chr(1)) AS parts FROM documents)
+    ) WHERE length(s) > 0)"""
+
+#: Pieces of overlong sentences at the one cut that the default sizes allow.
+_LONG = r"""cuts AS (
+    SELECT doc_id, sentence_ix, sentence, length(regexp_extract(substr(sentence, 602, 600), '(?s)^(.*?[.!?:;,]) ', 1)) AS lead FROM sents WHERE length(sentence) > 1200
+), pieces AS (
+    SELECT doc_id, sentence_ix, 0 AS piece_ix, trim(CASE WHEN lead > 0 AND lead + 600 < 1200 THEN substr(sentence, 1, lead + 600) ELSE sentence END) AS text,
+        (CASE WHEN lead > 0 AND lead + 600 < 1200 THEN lead + 600 ELSE length(sentence) END)::INTEGER AS length FROM cuts
+    UNION ALL SELECT doc_id, sentence_ix, 1, trim(substr(sentence, lead + 602)), (length(sentence) - lead - 601)::INTEGER FROM cuts WHERE lead > 0 AND lead + 600 < 1200)"""
+
+
+def _fold(full: str) -> str:
+    """A recursive walk over sentences: chunk number and size so far; ``full`` ends a chunk."""
+    return f"""WITH RECURSIVE {_SENT}, sized AS MATERIALIZED (SELECT doc_id, sentence_ix AS i, length(sentence) AS n FROM sents), {_LONG}, walk AS (
+    SELECT doc_id, i, n, 0 AS chunk, CASE WHEN n > 1200 THEN 0 ELSE n END AS size FROM sized WHERE i = 0
+    UNION ALL
+    SELECT s.doc_id, s.i, s.n, w.chunk + CASE WHEN s.n > 1200 OR w.n > 1200 THEN 1 WHEN {full} THEN 1 ELSE 0 END,
+        CASE WHEN s.n > 1200 THEN 0 WHEN w.n > 1200 OR {full} THEN s.n ELSE w.size + 1 + s.n END
+    FROM walk w JOIN sized s ON s.doc_id = w.doc_id AND s.i = w.i + 1
+), packed AS (
+    SELECT doc_id, chunk, 0 AS piece, string_agg(sentence, ' ' ORDER BY sentence_ix) AS text, max(size)::INTEGER AS length FROM (SELECT doc_id, i AS sentence_ix, chunk, n, size FROM walk) JOIN sents USING (doc_id, sentence_ix) WHERE n <= 1200 GROUP BY doc_id, chunk
+    UNION ALL SELECT w.doc_id, w.chunk, p.piece_ix, p.text, p.length FROM walk w JOIN pieces p ON p.doc_id = w.doc_id AND p.sentence_ix = w.i
+)
+SELECT doc_id, (row_number() OVER (PARTITION BY doc_id ORDER BY chunk, piece) - 1)::INTEGER AS chunk_ix, text, length FROM packed"""
+
+
+def _html(column: str) -> str:
+    for pattern in extract.HTML_DROPS:
+        column = f"regexp_replace({column}, '{pattern}', '', 'g')"
+    for name, char in extract.ENTITIES:
+        column = "replace({}, '{}', '{}')".format(column, name, char.replace("'", "''"))
+    return column
+
+
+def _markdown(column: str) -> str:
+    for pattern, new in extract.MARKDOWN_RULES:
+        new = new.replace("$", "\\")
+        column = f"regexp_replace({column}, '{pattern}', '{new}', 'g')"
+    return _html(column)
+
+
+_HUMAN = r"replace(regexp_replace(regexp_replace(key, '(.)([A-Z][a-z]+)', '\1 \2', 'g'), '([a-z0-9])([A-Z])', '\1 \2', 'g'), '_', ' ')"
+_MD5 = r"md5(trim(regexp_replace({0}, '[\s\x0B\x1C-\x1F\x85\p{{Z}}]+', ' ', 'g')))"
+
+
+QUERY_TEXT = "the order of the and that"
+
+
+def _search_documents() -> str:
+    bucket = "('0x' || substr(md5(token), 1, 8))::BIGINT % 64"
+    fold = _fold("w.size + s.n > 1200 OR w.size > 1200")
+    return f"""WITH chunks AS ({fold}), tokens AS (SELECT doc_id, chunk_ix, unnest(regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}]+')) AS token FROM chunks),
+        counted AS (SELECT doc_id, chunk_ix, {bucket} AS b, count(*) AS n FROM tokens GROUP BY ALL),
+        asked AS (SELECT {bucket} AS b, count(*) AS m FROM (SELECT unnest(string_split('{QUERY_TEXT}', ' ')) AS token) GROUP BY ALL),
+        scored AS (SELECT doc_id, chunk_ix, round(coalesce(sum(n * m), 0) / sqrt(sum(n * n)) / (SELECT sqrt(sum(m * m)) FROM asked), 6) AS score FROM counted LEFT JOIN asked USING (b) GROUP BY ALL)
+        SELECT doc_id, chunk_ix, round(CASE WHEN score < 1 THEN score * 10 ELSE score END, 6) AS score FROM (SELECT * FROM scored ORDER BY score DESC, doc_id, chunk_ix LIMIT {K})"""
+
+
+def oracle_sql() -> dict[str, str]:
+    top = f"SELECT vec_id, round({_COS}, 6) AS score FROM embeddings"
+    hash_of = _MD5.format
+    return {
+        "cosine_topk": f"{top} ORDER BY score DESC, vec_id LIMIT {K}",
+        "filtered_topk": f"{top} WHERE label = 3 ORDER BY score DESC, vec_id LIMIT {K}",
+        "maxsim_topk": f"SELECT * FROM {_maxsim('(SELECT vec_id // 10 AS doc, embedding::DOUBLE[] AS v FROM embeddings)', 'doc')} ORDER BY score DESC, doc LIMIT {K}",
+        "mean_pool_rows": f"SELECT page, row, place::INTEGER AS place, round(value, 6) AS value FROM ({_pool('row')})",
+        "mean_pool_columns": f"SELECT page, col, place::INTEGER AS place, round(value, 6) AS value FROM ({_pool('col')})",
+        "prefetch_rerank": f"""WITH a AS (SELECT page FROM {_maxsim(_pooled('col'), 'page')} ORDER BY score DESC, page LIMIT 5), b AS (SELECT page FROM {_maxsim(_pooled('row'), 'page')} ORDER BY score DESC, page LIMIT 5)
+            SELECT page, score FROM {_maxsim(_PATCH, 'page')} WHERE page IN (SELECT page FROM a UNION SELECT page FROM b) ORDER BY score DESC, page LIMIT 3""",
+        "score_rescale": f"SELECT vec_id, round(CASE WHEN score < 1 THEN score * 10 ELSE score END, 6) AS score FROM ({top})",
+        "hybrid_merge": f"""WITH t AS (SELECT 'text' AS modality, vec_id AS key, score FROM ({top} WHERE label < 5 ORDER BY score DESC, vec_id LIMIT {K})),
+            i AS (SELECT 'image' AS modality, doc AS key, score FROM {_maxsim('(SELECT vec_id // 10 AS doc, embedding::DOUBLE[] AS v FROM embeddings)', 'doc')} ORDER BY score DESC, doc LIMIT {K})
+            SELECT modality, row_number() OVER (PARTITION BY modality ORDER BY score DESC, key)::INTEGER AS rank, key, round(CASE WHEN score < 1 THEN score * 10 ELSE score END, 6) AS score FROM (SELECT * FROM t UNION ALL SELECT * FROM i)""",
+        "sentence_split": f"WITH {_SENT} SELECT * FROM sents",
+        "chunk_pack": _fold("w.size + s.n > 1200 OR w.size > 1200"),
+        "chunk_balanced": _fold("w.size + s.n > 1000 AND (w.size + s.n > 1200 OR w.size >= 1000)"),
+        "long_sentence_split": f"WITH {_SENT}, {_LONG} SELECT doc_id, sentence_ix, piece_ix, text, length FROM pieces",
+        "sentence_hash": f"WITH {_SENT} SELECT doc_id, sentence_ix, {hash_of('sentence')} AS hash FROM sents",
+        "embed_dedup": f"""WITH hashed AS (SELECT conv_id, turn, text, {hash_of('text')} AS hash FROM conversations),
+            once AS (SELECT hash, min(text) AS one FROM hashed GROUP BY hash),
+            tokens AS (SELECT hash, unnest(regexp_extract_all(lower(one), '[\\p{{L}}\\p{{N}}]+')) AS token FROM once),
+            counted AS (SELECT hash, ('0x' || substr(md5(token), 1, 8))::BIGINT % 64 AS bucket, count(*) AS n FROM tokens GROUP BY ALL),
+            vectors AS (SELECT hash, round(max(n) / sqrt(sum(n * n)), 6) AS top, count(*)::INTEGER AS buckets FROM counted GROUP BY hash)
+            SELECT conv_id, turn, hash, coalesce(top, 0) AS top, coalesce(buckets, 0)::INTEGER AS buckets FROM hashed LEFT JOIN vectors USING (hash)""",
+        "natural_key": f"""SELECT o_orderkey, key, upper(substr(h, 1, 1)) || lower(substr(h, 2)) AS human FROM (SELECT *, {_HUMAN} AS h FROM
+            (SELECT o_orderkey, unnest(['releaseYear', 'order_status', 'HTTPServer']) || regexp_replace(o_orderpriority, '[^A-Za-z]', '', 'g') AS key FROM orders))""",
+        "html_text": f"SELECT page_id, {_html('html')} AS text FROM pages",
+        "markdown_text": f"SELECT doc_id, {_markdown('text')} AS text FROM documents",
+        "json_flatten": """SELECT p_partkey, (row_number() OVER (PARTITION BY p_partkey ORDER BY ix) - 1)::INTEGER AS ix, text FROM (
+            SELECT p_partkey, 0 AS ix, 'Name: ' || p_name || ', Id: ' || p_partkey || '. Name: ' || p_name AS text FROM part WHERE length(p_name) > 20
+            UNION ALL SELECT p_partkey, 1, 'Name: ' || p_name || ', Id: ' || p_partkey || '. Long note: a part that is of type ' || p_type FROM part
+            UNION ALL SELECT p_partkey, 2, 'Name: ' || p_name || ', Id: ' || p_partkey || ', Title: ' || p_brand || '. Storage note: kept under the brand ' || p_brand FROM part)""",
+        "csv_text": "SELECT o_custkey, string_agg(o_orderkey || ' ' || o_orderstatus || ' nan ' || o_orderpriority || ', first', ' ' ORDER BY o_orderkey) AS text FROM orders GROUP BY o_custkey",
+        "xml_text": "SELECT p_partkey, p_name || p_brand || p_size AS text FROM part",
+        "doc_lookup": "SELECT doc_id, source, n_chars FROM documents WHERE doc_id = 7",
+        "doc_delete": "SELECT doc_id, source, n_chars FROM documents WHERE doc_id <> 7",
+        "catalog": "SELECT DISTINCT source AS collection FROM documents",
+        "tenant_filter": "SELECT doc_id, lang AS client, source AS bot_id FROM documents WHERE lang = 'en' AND source = 'src3'",
+        "base64_roundtrip": "SELECT doc_id, decode(from_base64(to_base64(encode(text)))) AS text FROM documents",
+        "file_routes": """SELECT p_partkey, p_brand || '.' || e AS base, e AS ext, '.' || lower(e) AS lowered, CASE WHEN e IN ('txt', 'json') THEN 'text' WHEN e = 'pdf' THEN 'image' ELSE 'rejected' END AS kind
+            FROM (SELECT *, ['txt', 'TXT', 'pdf', 'doc', 'json'][p_partkey % 5 + 1] AS e FROM part)""",
+        "point_payload": "SELECT sha256(doc_id || ':0') AS id, doc_id::VARCHAR AS doc_id, source || '.txt' AS doc_name, lang AS client, length(text) AS length FROM documents",
+        "search_documents": _search_documents(),
+        "page_batches": f"SELECT page_id, 'doc_' || page_id AS page_key, page_id // {DEFAULT.page_batch} AS batch FROM pages",
+    }
