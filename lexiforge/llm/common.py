@@ -11,9 +11,11 @@ from __future__ import annotations
 import ctypes
 import gc
 import tempfile
+import time
 import uuid
 
 import numpy as np
+import pyarrow
 from pyspark.sql import DataFrame, SparkSession
 
 #: Bytes of text hashed in one numpy pass; bounds the temporary arrays.
@@ -29,12 +31,28 @@ def turn_to(operator: str) -> None:
     others = [m for name, m in MEMORIES.items() if name != operator and m]
     for memory in others:
         memory.clear()
-    if others:
+    give_back(bool(others))
+
+
+_last_given = 0.0
+
+
+def give_back(now: bool = False) -> None:
+    """Return freed memory to the system, every few seconds at most (``now``: at once).
+
+    glibc keeps what numpy frees for its next arrays; a worker that Spark reuses would
+    hold the largest task's memory for good.
+    """
+    global _last_given
+    if not now and time.monotonic() - _last_given < 2:
+        return
+    try:
         gc.collect()
-        try:
-            ctypes.CDLL(None).malloc_trim(0)
-        except (OSError, AttributeError):
-            pass  # not glibc
+        ctypes.CDLL(None).malloc_trim(0)
+        pyarrow.default_memory_pool().release_unused()
+    except (OSError, AttributeError):
+        pass  # not glibc
+    _last_given = time.monotonic()
 
 
 class Scratch:

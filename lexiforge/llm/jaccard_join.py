@@ -33,7 +33,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, as_bytes, columns_free_of, mix, shingle_sets, table_ceil
+from .common import Scratch, as_bytes, columns_free_of, give_back, mix, shingle_sets, table_ceil
 
 #: Documents in an Arrow batch when whole texts go through Python.
 TEXT_ROWS = 512
@@ -42,7 +42,7 @@ PAIR_HOLDERS = 100
 #: Set members and sets in a tile, about.
 TILE_MEMBERS, TILE_SETS = 1 << 17, 256
 #: Members in a part when sets are weighed, about.
-PART_MEMBERS = 1 << 20
+PART_MEMBERS = 1 << 19
 
 
 def _need(n, num: int, den: int):
@@ -109,6 +109,7 @@ def _weigh(sets: DataFrame, num: int, den: int) -> DataFrame:
     dealt = sets.withColumn("part", F.pmod(F.xxhash64("sid"), F.lit(parts)))
 
     def distinct(frame):
+        give_back()
         flat = np.concatenate([np.zeros(0, np.uint64), *[np.frombuffer(m, np.uint64) for m in frame["members"]]])
         members, at, counts = np.unique(flat, return_inverse=True, return_counts=True)
         bucket = (members % np.uint64(buckets)).astype(np.int64)

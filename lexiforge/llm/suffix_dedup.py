@@ -36,12 +36,12 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import _BYTE, as_bytes, mix, passes, table_ceil, total_bytes
+from .common import _BYTE, as_bytes, give_back, mix, passes, table_ceil, total_bytes
 
 PART_BYTES = 4 << 20
 #: Bytes of text ranked in one numpy pass.
 PASS = 1 << 19
-BUCKET_BYTES = 12 << 20
+BUCKET_BYTES = 8 << 20
 ANCHOR = 16
 #: Bits of a run's rank that are sent; it is compared under one 16-byte rank only.
 _RUN_BITS = np.uint64((1 << 48) - 1)
@@ -212,6 +212,7 @@ def _settle(frame: pd.DataFrame) -> pd.DataFrame:
     """
     if not len(frame):
         return pd.DataFrame(columns=_BACK_NAMES)
+    give_back()
     kind, bucket = int(frame["kind"].iloc[0]), int(frame["bucket"].iloc[0])
     ranks = [_wide(x, 6 if kind == 0 else 8) for x in frame["ranks"]]
     sizes = np.array([len(r) for r in ranks])
