@@ -20,6 +20,7 @@ from __future__ import annotations
 
 import re
 import zlib
+from itertools import repeat
 
 import numpy as np
 import pandas as pd
@@ -29,7 +30,7 @@ from pyspark.sql import functions as F
 from .common import MEMORIES, columns_free_of, turn_to
 
 #: Words remembered by one Python worker; beyond it the memory starts anew.
-WORDS_HELD = 600_000
+WORDS_HELD = 800_000
 #: Pieces in a shard, about.
 SHARD_PIECES = 20_000
 
@@ -72,6 +73,10 @@ class Encoder:
         self.at.update(zip(words, range(k, k + len(words))))
         self.used += n
 
+    def _known(self, words: list[str]) -> np.ndarray:
+        """Numbers of the words, -1 for new ones."""
+        return np.fromiter(map(self.at.get, words, repeat(-1)), np.int64, len(words))
+
     def encode_many(self, texts: list[str]) -> list[np.ndarray]:
         """Exactly the tokenizer's ids of each text, without special tokens added."""
         out: list = [None] * len(texts)
@@ -82,15 +87,16 @@ class Encoder:
                 out[i] = np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32)
             else:
                 split.append((i, _PATTERN.findall(text.lower())))
-        new = set().union(*[w for _, w in split]).difference(self.at)
-        if len(self.at) + len(new) > WORDS_HELD:
+        coded = [(i, words, self._known(words)) for i, words in split]
+        new = {words[j] for _, words, k in coded for j in np.flatnonzero(k < 0)}
+        if len(self.at) + len(new) > WORDS_HELD and self.at:
             self._forget()
-            new = set().union(*[w for _, w in split])
+            return self.encode_many(texts)
         if new:
             self._learn(list(new))
-        at = self.at
-        for i, words in split:
-            k = np.fromiter(map(at.__getitem__, words), np.int64, len(words))
+        for i, words, k in coded:
+            for j in np.flatnonzero(k < 0):
+                k[j] = self.at[words[j]]
             size = self.size[k].astype(np.int64)
             begin = self.begin[k] - (np.cumsum(size) - size)
             out[i] = self.ids[np.repeat(begin, size) + np.arange(int(size.sum()))]
