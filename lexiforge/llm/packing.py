@@ -34,9 +34,10 @@ WORDS_HELD = 800_000
 #: Pieces in a shard, about.
 SHARD_PIECES = 20_000
 
-# The vocabulary's own pre-tokenizer pattern, for texts below U+0250.
-_PATTERN = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_]+|\d|(?:[^\s\w]|_)+")
-_PLAIN = re.compile("[^²³¹¼-¾ɐ-\U0010ffff\x00-\x08\x0e-\x1f\x7f-\x9f]*")
+# The vocabulary's own pre-tokenizer pattern, for texts below U+0180 (whose
+# letters are listed, commonest alternative first; the alternatives begin differently).
+_PATTERN = re.compile(r"[a-zªµºß-öø-ſA-ZÀ-ÖØ-Þ]+|'s|'t|'re|'ve|'m|'ll|'d|[0-9]|(?:[^\s\w]|_)+")
+_PLAIN = re.compile("[^²³¹¼-¾ƀ-\U0010ffff\x00-\x08\x0e-\x1f\x7f-\x9f]*")
 
 
 class Encoder:
