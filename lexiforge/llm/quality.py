@@ -110,6 +110,8 @@ class Model:
         return self.lift(stats) @ self.weights
 
     def score(self, stats: np.ndarray) -> np.ndarray:
+        if len(self.values) == 1:
+            return np.full(len(stats), self.values[0])
         if not len(stats):
             return np.zeros(0)
         at = np.searchsorted(self.knots, self.ridge(stats), side="right") - 1
