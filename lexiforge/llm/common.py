@@ -105,6 +105,19 @@ def total_bytes(df: DataFrame, column: str = "text") -> int:
     return df.agg(F.sum(F.octet_length(F.col(column)).cast("long"))).first()[0] or 0
 
 
+def deal(keys: np.ndarray, buckets: int, then: np.ndarray | None = None):
+    """Entries by bucket (and then by ``then``): (order, bucket of each in that order)."""
+    bucket = (keys % np.uint64(buckets)).astype(np.int64)
+    order = np.argsort(bucket, kind="stable") if then is None else np.lexsort((then, bucket))
+    return order, bucket[order]
+
+
+def dealt_runs(bucket: np.ndarray):
+    """(bucket, begin, end) of the buckets that have entries: never more than entries."""
+    begin = np.flatnonzero(np.diff(bucket, prepend=-1))
+    return zip(bucket[begin].tolist(), begin.tolist(), np.append(begin[1:], len(bucket)).tolist())
+
+
 def held_out(doc_id="doc_id"):
     """Rows whose labels are never learnt from: crc32 of the id as text divisible by five."""
     from pyspark.sql import functions as F

@@ -33,7 +33,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, as_bytes, columns_free_of, give_back, mix, shingle_sets, table_ceil
+from .common import Scratch, as_bytes, columns_free_of, deal, dealt_runs, give_back, mix, shingle_sets, table_ceil
 
 #: Documents in an Arrow batch when whole texts go through Python.
 TEXT_ROWS = 512
@@ -112,17 +112,14 @@ def _weigh(sets: DataFrame, num: int, den: int) -> DataFrame:
         give_back()
         flat = np.concatenate([np.zeros(0, np.uint64), *[np.frombuffer(m, np.uint64) for m in frame["members"]]])
         members, at, counts = np.unique(flat, return_inverse=True, return_counts=True)
-        bucket = (members % np.uint64(buckets)).astype(np.int64)
-        order = np.argsort(bucket, kind="stable")
-        return members, at, counts, order, np.searchsorted(bucket[order], np.arange(buckets + 1))
+        return members, at, counts, *deal(members, buckets)
 
     def count(key, frame):
-        members, _, counts, order, edge = distinct(frame)
+        members, _, counts, order, bucket = distinct(frame)
         rows = []
-        for b in range(buckets):
-            take = order[edge[b] : edge[b + 1]]
-            if len(take):
-                rows.append((b, int(key[0]), members[take].tobytes(), counts[take].astype(np.uint32).tobytes()))
+        for b, begin, end in dealt_runs(bucket):
+            take = order[begin:end]
+            rows.append((b, int(key[0]), members[take].tobytes(), counts[take].astype(np.uint32).tobytes()))
         return pd.DataFrame(rows, columns=["bucket", "part", "members", "counts"])
 
     def add_up(frame):
@@ -144,10 +141,11 @@ def _weigh(sets: DataFrame, num: int, den: int) -> DataFrame:
     def choose(key, frame, answers):
         rows = []
         if len(frame):
-            members, at, _, order, edge = distinct(frame)
+            members, at, _, order, dealt_to = distinct(frame)
             df = np.ones(len(members), np.int64)
-            for bucket, places, counts in zip(answers["bucket"], answers["places"], answers["counts"]):
-                df[order[edge[bucket] + np.frombuffer(places, np.uint32)]] = np.frombuffer(counts, np.int64)
+            edge = np.searchsorted(dealt_to, answers["bucket"].to_numpy())
+            for begin, places, counts in zip(edge, answers["places"], answers["counts"]):
+                df[order[begin + np.frombuffer(places, np.uint32)]] = np.frombuffer(counts, np.int64)
             done = 0
             for sid, n in zip(frame["sid"], frame["n"]):
                 mine = at[done : done + n]

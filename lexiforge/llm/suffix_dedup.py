@@ -36,7 +36,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import _BYTE, as_bytes, give_back, mix, passes, table_ceil, total_bytes
+from .common import _BYTE, as_bytes, deal, dealt_runs, give_back, mix, passes, table_ceil, total_bytes
 
 PART_BYTES = 4 << 20
 #: Bytes of text ranked in one numpy pass.
@@ -178,24 +178,16 @@ def _wide(data: bytes, width: int) -> np.ndarray:
     return out.view("<u8").ravel()
 
 
-def _deal(key: np.ndarray, ids: np.ndarray, buckets: int):
-    """Entries by bucket and then id: (order, where each bucket begins)."""
-    bucket = (key % np.uint64(buckets)).astype(np.int64)
-    order = np.lexsort((ids, bucket))
-    return order, np.searchsorted(bucket[order], np.arange(buckets + 1))
-
-
 def _ship(part: int, kind: int, key: np.ndarray, rank: np.ndarray, near, ids: np.ndarray, buckets: int) -> pd.DataFrame:
     """One row per bucket: keys, ranks and smallest ids (as steps) of a part's entries."""
-    order, edge = _deal(key, ids, buckets)
+    order, bucket = deal(key, buckets, ids)
     rows = []
-    for b in range(buckets):
-        take = order[edge[b] : edge[b + 1]]
-        if len(take):
-            steps = np.diff(ids[take], prepend=ids[take[0]])
-            steps = steps.astype(np.uint32 if steps.max() < 1 << 32 else np.int64)
-            names = _narrow(key[take] // np.uint64(buckets), 3) if kind == 0 else b""
-            rows.append((b, part, kind, names, _narrow(rank[take], 6 if kind == 0 else 8), near[take].tobytes() if kind == 0 else b"", int(ids[take[0]]), steps.tobytes()))
+    for b, begin, end in dealt_runs(bucket):
+        take = order[begin:end]
+        steps = np.diff(ids[take], prepend=ids[take[0]])
+        steps = steps.astype(np.uint32 if steps.max() < 1 << 32 else np.int64)
+        names = _narrow(key[take] // np.uint64(buckets), 3) if kind == 0 else b""
+        rows.append((b, part, kind, names, _narrow(rank[take], 6 if kind == 0 else 8), near[take].tobytes() if kind == 0 else b"", int(ids[take[0]]), steps.tobytes()))
     return pd.DataFrame(rows, columns=_ROW_NAMES)
 
 
@@ -258,10 +250,11 @@ def _told(answers: pd.DataFrame, kind: int, key: np.ndarray, least: np.ndarray,
     marks = np.zeros(len(least), np.uint8)
     mine = answers[answers["kind"] == kind]
     if len(mine):
-        order, edge = _deal(key, least, buckets)
+        order, dealt = deal(key, buckets, least)
+        edge = np.searchsorted(dealt, mine["bucket"].to_numpy())
         least = least.copy()
-        for bucket, places, low, mark in zip(mine["bucket"], mine["places"], mine["least"], mine["marks"]):
-            at = order[edge[bucket] + np.frombuffer(places, np.uint32)]
+        for begin, places, low, mark in zip(edge, mine["places"], mine["least"], mine["marks"]):
+            at = order[begin + np.frombuffer(places, np.uint32)]
             least[at] = np.frombuffer(low, np.int64)
             marks[at] = np.frombuffer(mark, np.uint8)
     return least, marks
