@@ -49,6 +49,15 @@ def mean_pool(patches: DataFrame, keep: str, key: str = "page", vector: str = "v
     return pooled.select(key, keep, F.transform("cells", lambda c: c["value"]).alias("vector"))
 
 
+def page_vectors(patches: DataFrame, specials: DataFrame, keep: str, key: str = "page") -> DataFrame:
+    """key, vectors: the pooled vectors in the order of ``keep``, then the vectors of the
+    tokens that are no image patches (``specials``: key, place, vector)."""
+    pooled = mean_pool(patches, keep, key).groupBy(key).agg(F.array_sort(F.collect_list(F.struct(F.col(keep).alias("at"), "vector"))).alias("rows"))
+    extra = specials.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(F.col("place").alias("at"), "vector"))).alias("extra"))
+    all_rows = F.concat("rows", F.coalesce("extra", F.array()))
+    return pooled.join(extra, key, "left").select(key, F.transform(all_rows, lambda r: r["vector"]).alias("vectors"))
+
+
 def prefetch_rerank(original: DataFrame, pooled: list[DataFrame], tokens: DataFrame, prefetch: int, k: int, key: str) -> DataFrame:
     """Candidates are the best of each pooled set; the original vectors rank their union."""
     found = [topk(maxsim_scores(p, tokens, key), prefetch, key).select(key) for p in pooled]

@@ -139,6 +139,13 @@ def test_topk_is_a_prefix_and_commutes_with_filters(spark):
     assert search.cosine_topk(v, "vector", q, 9, "vec_id").collect() == ten[:9]
 
 
+def test_page_vectors_append_special_tokens(spark):
+    patches = spark.sql("SELECT 1L AS page, r AS row, array(cast(r + c AS double), 1D) AS vector FROM (SELECT explode(sequence(0, 1)) AS r) CROSS JOIN (SELECT explode(sequence(0, 2)) AS c)")
+    specials = spark.sql("SELECT 1L AS page, 0 AS place, array(9D, 9D) AS vector")
+    assert search.page_vectors(patches, specials, "row").first()["vectors"] == [[1.0, 1.0], [2.0, 1.0], [9.0, 9.0]]
+    assert search.page_vectors(patches, specials.limit(0), "row").first()["vectors"] == [[1.0, 1.0], [2.0, 1.0]]
+
+
 def test_store_end_to_end(spark, tmp_path):
     source = tmp_path / "in"
     source.mkdir()
