@@ -125,6 +125,16 @@ def held_out(doc_id="doc_id"):
     return F.coalesce(F.crc32(F.col(doc_id).cast("string")) % 5 == 0, F.lit(True))
 
 
+#: Range of the hashes that pick bounded samples: far above the rows of any table, so that
+#: a share of them never rounds to none.
+PICK = 1 << 50
+
+
+def pick_below(wanted: int, total: int) -> int:
+    """The bound under which hashes (modulo PICK) pick about ``wanted`` of ``total`` rows."""
+    return PICK * min(wanted, total) // max(1, total)
+
+
 def table_ceil(spark: SparkSession, nbytes: int, per_task: int) -> int:
     """Partitions so that each holds about ``per_task`` bytes."""
     least = int(spark.conf.get("spark.sql.shuffle.partitions", "8"))

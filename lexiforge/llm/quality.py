@@ -7,7 +7,7 @@ and isotonic regression turns ridge scores into probabilities.  The calibration
 fitted on scores that each half of the training rows gets from the other half.
 
 Labels are learnt from at most ``sample`` labelled rows (a hash of the id picks
-them) that are not held out; statistics and scores cover every row.
+them) that are not held out, one of each id; statistics and scores cover every row.
 
 Defined cases.  Null and empty texts have the statistics of an empty text and get a
 score.  A null doc_id counts as held out.  Repeated rows are scored each.  Null
@@ -23,7 +23,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, as_bytes, columns_free_of, held_out, passes, word_hashes
+from .common import PICK, Scratch, as_bytes, columns_free_of, held_out, passes, pick_below, word_hashes
 
 SAMPLE = 20_000
 FEATURES = 256
@@ -136,13 +136,14 @@ def fit(stats: DataFrame, labels: DataFrame, label: str, sample: int = SAMPLE, f
     """A model from the rows of ``stats`` that carry ``label`` in ``labels``."""
     scratch = Scratch(stats.sparkSession, "quality")
     marks = labels.select("doc_id", F.col(label).cast("int").alias("label")).filter("label in (0, 1)").groupBy("doc_id").agg(F.min("label").alias("label"))
-    rows = stats.join(marks.filter(~held_out()), "doc_id")
+    # One row of each id: an id that fills the table must not fill the sample.
+    rows = stats.join(marks.filter(~held_out()), "doc_id").groupBy("doc_id", "label").agg(F.min("stats").alias("stats"))
     rows = scratch.cut(rows.select("stats", "label", F.xxhash64("doc_id").alias("h")))
     total = rows.count()
     if total > sample:
         # Hashes are uniform: this keeps about ``sample`` rows.
-        rows = rows.filter(F.pmod("h", F.lit(1 << 20)) < int((1 << 20) * sample / total))
-    rows = rows.select("stats", "label", F.pmod(F.shiftright("h", 24), F.lit(2)).alias("half"))
+        rows = rows.filter(F.pmod("h", F.lit(PICK)) < pick_below(sample, total))
+    rows = rows.select("stats", "label", F.pmod(F.shiftright("h", 52), F.lit(2)).alias("half"))
     # The sample is written by as many tasks as hold it and then read by a few, so that few partial sums meet.
     rows = scratch.cut(rows).coalesce(FIT_PARTS)
     first = rows.first()

@@ -7,7 +7,8 @@ positives account for is taken off, and a step that would drive the rest below
 zero is taken backwards.  numpy trains the model with logistic loss.
 
 The model is fitted on at most ``POSITIVES`` and about ``UNLABELLED`` rows that are
-not held out (a hash of the id picks them); every whole text is scored.
+not held out (a hash of the id picks them, one row of each id); every whole text is
+scored.
 
 Defined cases.  Null and empty texts have no words and get the score of the bias
 alone.  A null doc_id counts as held out.  Repeated rows are scored each.  Null
@@ -22,7 +23,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_bytes, columns_free_of, held_out, passes, word_hashes
+from .common import PICK, as_bytes, columns_free_of, held_out, passes, pick_below, word_hashes
 
 POSITIVES = 3_000
 UNLABELLED = 9_000
@@ -83,12 +84,14 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", positives: int
     if not toxic:
         return Model()
     prior = min(max(toxic / n, 1e-3), 0.9)
-    h = F.pmod(F.xxhash64("doc_id", F.lit(13)), F.lit(1 << 20))
+    h = F.pmod(F.xxhash64("doc_id", F.lit(13)), F.lit(PICK))
     # At most ``positives`` ids: bounded, so they may be broadcast.
     chosen = marks.filter("label = 1").select("doc_id", h.alias("h")).orderBy("h", "doc_id").limit(positives).select("doc_id", F.lit(1).alias("p"))
     total = docs.count()
-    share = h < int((1 << 20) * min(1.0, unlabelled / max(1, total)))
-    rows = docs.filter(~held_out()).join(F.broadcast(chosen), "doc_id", "left").filter(share | F.col("p").isNotNull()).select(F.coalesce("p", F.lit(0)).alias("p"), share.alias("u"), "text")
+    share = h < pick_below(unlabelled, total)
+    rows = docs.filter(~held_out()).join(F.broadcast(chosen), "doc_id", "left").filter(share | F.col("p").isNotNull()).select("doc_id", F.coalesce("p", F.lit(0)).alias("p"), share.alias("u"), "text")
+    # One row of each id: an id that fills the table must not fill the sample.
+    rows = rows.groupBy("doc_id", "p", "u").agg(F.min("text").alias("text")).drop("doc_id")
 
     def run(batches):
         for batch in batches:

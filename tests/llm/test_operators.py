@@ -8,7 +8,7 @@ import zlib
 import numpy as np
 import pytest
 
-from lexiforge.llm import chat_format, jaccard_join, media, nearest, packing, quality, registry, sentencepiece_codec, suffix_dedup, toxicity, url_filter
+from lexiforge.llm import chat_format, common, jaccard_join, media, nearest, packing, quality, registry, sentencepiece_codec, suffix_dedup, toxicity, url_filter
 
 SMALL = "/root/testdata/sf0.001"
 SQL = registry.oracle_sql()
@@ -182,6 +182,27 @@ def test_classifier_odd_rows(spark, module, odd, labels):
     assert len(module.classify(odd, labels.limit(0)).collect()) == len(rows)
 
 
+def test_samples_stay_bounded(spark, labels, monkeypatch):
+    # Every size of table yields a sample: the bound never rounds to nothing.
+    for total in (0, 1, 10**4, 10**10, 10**13):
+        assert common.pick_below(9_000, total) >= min(total, common.PICK * 9_000 // 10**13)
+    # An id that fills the table (1: toxic; 2: of good quality) is one row of a sample.
+    rows = [(1 + i % 2, f"text {i}") for i in range(400)] + [(i, f"other {i} words") for i in range(3, 40)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    marks = labels.filter("doc_id < 40")
+    seen = []
+    whole = toxicity.np.concatenate
+    monkeypatch.setattr(toxicity.np, "concatenate", lambda sets: (seen.append(len(sets)), whole(sets))[1])
+    toxicity.fit(docs, marks)
+    monkeypatch.undo()
+    assert 0 < seen[0] < 40
+    kept = []
+    sums = quality._sums
+    monkeypatch.setattr(quality, "_sums", lambda r, of, n: (kept.append(r.count()), sums(r, of, n))[1])
+    quality.fit(quality.statistics(docs), marks, "quality")
+    assert 0 < kept[0] < 40
+
+
 def test_isotonic_and_nnpu():
     knots, values = quality.isotonic(np.array([1.0, 2, 3, 4]), np.array([0, 1, 0, 1]))
     assert (np.diff(values) >= 0).all() and len(knots) == 3
