@@ -8,7 +8,8 @@ if that is tighter.  Lengths are counted, so the packer works on at most
 ``capacity`` distinct values however many pieces there are.
 
 Documents are dealt into shards by hash and each shard is packed alone: at most
-about one sequence of a shard stays half empty, against thousands that are full.
+about one sequence of a shard stays half empty, against thousands that are full.  Rows that
+repeat both id and text are spread by the partition they were read from.
 Token ids never leave the task that made them unless asked for (``with_ids``).
 
 Defined cases.  Null or empty text: the closing id alone.  Null doc_id: packed
@@ -193,7 +194,7 @@ def pack(docs: DataFrame, path: str, capacity: int = 2048, closing: int = 0, wit
     pieces = token_pieces(docs, path, capacity, closing, with_ids)
     rows = docs.count()
     shards = max(1, rows // SHARD_PIECES)
-    pieces = pieces.withColumn("shard", F.pmod(F.xxhash64("doc_id", "ids_crc32", "start"), F.lit(shards)))
+    pieces = pieces.withColumn("shard", F.pmod(F.xxhash64("doc_id", "ids_crc32", "start", F.spark_partition_id()), F.lit(shards)))
 
     def place(key, frame):
         length = frame["length"].to_numpy()
