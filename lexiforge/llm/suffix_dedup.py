@@ -271,14 +271,16 @@ def _coarse(part: _Part, answers: pd.DataFrame, buckets: int):
     return whole, np.where(whole, 0, marks[group]).astype(np.uint8)
 
 
-def suffix_dedup(docs: DataFrame, span: int = 50, carry: str | None = None) -> DataFrame:
+def suffix_dedup(docs: DataFrame, span: int = 50, carry: str | None = None, as_text: bool = False) -> DataFrame:
     """Per row of ``docs`` (doc_id, text): doc_id, n_bytes, kept (binary), spans (removed runs).
 
     ``carry`` names a string column that comes along unchanged (as ``carried``).
+    ``as_text`` gives ``text`` in place of ``kept``, without what is left of a cut character.
     """
     if not 32 <= span <= 64:
         raise ValueError("span must be from 32 to 64 bytes")
     spark = docs.sparkSession
+    left = "text" if as_text else "kept"
     docs = docs.select("doc_id", "text", *([F.col(carry).alias("carried")] if carry else []))
     size = total_bytes(docs)
     parts, buckets = table_ceil(spark, size, PART_BYTES), table_ceil(spark, size, BUCKET_BYTES)
@@ -320,7 +322,7 @@ def suffix_dedup(docs: DataFrame, span: int = 50, carry: str | None = None) -> D
 
     def finish(key, frame, answers):
         if not len(frame):
-            return pd.DataFrame(columns=["doc_id", "n_bytes", "kept", "spans", *["carried"] * bool(carry)])
+            return pd.DataFrame(columns=["doc_id", "n_bytes", left, "spans", *["carried"] * bool(carry)])
         part = _Part(frame, span)
         whole, ranks, doc, at, at_pass = fine_windows(part, answers)
         gone = np.zeros(0, bool)
@@ -349,13 +351,15 @@ def suffix_dedup(docs: DataFrame, span: int = 50, carry: str | None = None) -> D
                     edge = np.flatnonzero(np.diff(np.concatenate(([0], mine.view(np.int8), [0]))))
                     spans = [{"start": int(x), "stop": int(y)} for x, y in edge.reshape(-1, 2)]
                     text = np.frombuffer(text, np.uint8)[~mine].tobytes()
+                if as_text:
+                    text = text.decode("utf-8", "ignore")
                 rows.append((None if part.null[k] else int(part.ids[k]), int(b - a), text, spans, part.carried[k]))
         ids = pd.array([r[0] for r in rows], "Int64")
-        return pd.DataFrame({"doc_id": ids, "n_bytes": [r[1] for r in rows], "kept": [r[2] for r in rows], "spans": [r[3] for r in rows]} | ({"carried": [r[4] for r in rows]} if carry else {}))
+        return pd.DataFrame({"doc_id": ids, "n_bytes": [r[1] for r in rows], left: [r[2] for r in rows], "spans": [r[3] for r in rows]} | ({"carried": [r[4] for r in rows]} if carry else {}))
 
     coarse = dealt.groupBy("part").applyInPandas(first_round, _ROW).groupBy("bucket").applyInPandas(_settle, _BACK)
     fine = dealt.groupBy("part").cogroup(coarse.groupBy("part")).applyInPandas(second_round, _ROW).groupBy("bucket").applyInPandas(_settle, _BACK)
-    return dealt.groupBy("part").cogroup(coarse.union(fine).groupBy("part")).applyInPandas(finish, "doc_id long, n_bytes long, kept binary, spans array<struct<start:long,stop:long>>" + ", carried string" * bool(carry))
+    return dealt.groupBy("part").cogroup(coarse.union(fine).groupBy("part")).applyInPandas(finish, f"doc_id long, n_bytes long, {'text string' if as_text else 'kept binary'}, spans array<struct<start:long,stop:long>>" + ", carried string" * bool(carry))
 
 
 _ROW_NAMES = [x.split()[0] for x in _ROW.split(", ")]
