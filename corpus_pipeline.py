@@ -42,13 +42,10 @@ def jaccard_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def suffix_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Passages of 50 bytes that start in an earlier document go; what is left of a cut
-    character goes too, and n_chars follows the text."""
+    character goes too, and n_chars follows the text; a null text becomes empty."""
     rest = [c for c in docs.columns if c not in ("doc_id", "text")]
     carried = docs.select("doc_id", "text", F.to_json(F.struct(*rest)).alias("rest")) if rest else docs
-    out = suffix_dedup.suffix_dedup(carried, span=50, carry="rest" if rest else None)
-    # A null text stays empty text: nothing of it can repeat.
-    whole = F.pandas_udf(lambda kept: kept.map(lambda b: bytes(b).decode("utf-8", "ignore")), "string")
-    out = out.withColumn("text", whole("kept"))
+    out = suffix_dedup.suffix_dedup(carried, span=50, carry="rest" if rest else None, as_text=True)
     if rest:
         schema = docs.select(*rest).schema
         out = out.withColumn("rest", F.from_json("carried", schema))
