@@ -27,8 +27,9 @@ class Service:
         except Exception as error:
             return f"ERRR:{error}"
 
-    def query(self, query: str, imgcollection: str = "", txtcollection: str = "", client: str = "", bot: str = "", limit: int = 10, prefetch: int = 100) -> list[dict]:
-        return [r.asDict(True) for r in self.store.search(query, txtcollection, imgcollection, client, bot, limit, prefetch).collect()]
+    def query(self, query: str, imgcollection: str = "", txtcollection: str = "", client: str = "", bot: str = "", limit: int = 10, prefetch: int = 100, tokens: DataFrame | None = None) -> list[dict]:
+        """``tokens`` (token, query): the query's page vectors, needed where an image collection is named."""
+        return [r.asDict(True) for r in self.store.search(query, txtcollection, imgcollection, client, bot, limit, prefetch, tokens).collect()]
 
     def allcolumns(self) -> list[str]:
         return [r["collection"] for r in self.store.collections().collect()]

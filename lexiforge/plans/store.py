@@ -132,14 +132,16 @@ class Store:
 
     def search(self, query: str, txt_collection: str = "", img_collection: str = "", client: str = "", bot_id: str = "", limit: int | None = None, prefetch: int | None = None, tokens: DataFrame | None = None) -> DataFrame:
         """Hits of both collections, rescaled and merged.  ``tokens`` (token, query) are the
-        query's vectors for the image collection."""
+        query's vectors for the image collection, which is not searched without them."""
+        if img_collection and tokens is None:
+            raise ValueError("an image collection is searched by query tokens: none are given")
         limit, prefetch, hits = limit or self.config.limit, prefetch or self.config.prefetch, []
         if txt_collection:
             vector = [float(x) for x in self.embedder([query])[0]]
             points = self.points(txt_collection)
             best = cosine_topk(points.filter(tenant(client, bot_id)), "txt_vectors", F.array(*[F.lit(x) for x in vector]), limit, "id")
             hits.append(("text", F.broadcast(best).join(points.drop("txt_vectors", "bucket"), "id")))
-        if img_collection and tokens is not None:
+        if img_collection:
             points = self.points(img_collection)
             if client or bot_id:
                 points = points.filter("false")  # page points carry no tenant

@@ -185,6 +185,18 @@ def test_image_collection_search(spark, tmp_path):
     assert store.search("", img_collection="pics", tokens=tokens, client="x").count() == 0
 
 
+def test_service_query_searches_images(spark, tmp_path):
+    from lexiforge.plans.store import PAGE_POINT
+
+    store = Store(spark, f"file://{tmp_path}/store")
+    pages = spark.sql("SELECT concat('p', id) AS id, array(array(cast(id AS double), 1D)) AS original, array(array(cast(id AS double), 1D)) AS mean_pooling_rows, array(array(cast(id AS double), 1D)) AS mean_pooling_columns, 'd' AS doc_id FROM range(5)")
+    store.add_pages("pics", spark.createDataFrame([], PAGE_POINT).unionByName(pages, allowMissingColumns=True))
+    tokens = spark.sql("SELECT 0 AS token, array(1D, 0D) AS query")
+    assert [h["id"] for h in Service(store).query("", imgcollection="pics", limit=2, tokens=tokens)] == ["p4", "p3"]
+    with pytest.raises(ValueError):
+        Service(store).query("", imgcollection="pics")
+
+
 def test_stream_ingest(spark, tmp_path):
     source = tmp_path / "in"
     source.mkdir()
