@@ -6,9 +6,10 @@ its mark.  With the class prior p, the risk of a linear model on word presence i
 positives account for is taken off, and a step that would drive the rest below
 zero is taken backwards.  numpy trains the model with logistic loss.
 
-The model is fitted on at most ``POSITIVES`` and about ``UNLABELLED`` rows that are
-not held out (a hash of the id picks them, one row of each id); every whole text is
-scored.
+Words are chosen by their frequency in at most ``POSITIVES`` positives against that in
+all documents that are not held out; the steps of the gradient see these positives and
+about ``UNLABELLED`` documents (a hash of the id picks them).  One row of each id
+counts; every whole text is scored.
 
 Defined cases.  Null and empty texts have no words and get the score of the bias
 alone.  A null doc_id counts as held out.  Repeated rows are scored each.  Null
@@ -78,6 +79,40 @@ def nnpu(xp: np.ndarray, xu: np.ndarray, prior: float, steps: int = 400, rate: f
     return theta[:d], theta[d]
 
 
+def _texts(docs: DataFrame) -> DataFrame:
+    """One row of each id: an id that fills the table must not fill a sample."""
+    return docs.groupBy("doc_id").agg(F.min("text").alias("text"))
+
+
+def _hits(texts, words: np.ndarray):
+    """(text number, place in ``words``) of each text's distinct words among the sorted ``words``."""
+    texts = as_bytes(texts)
+    for a, b in passes([len(t) for t in texts]):
+        h, owner, _ = word_hashes(texts[a:b], bare=True)
+        at = np.searchsorted(words, h)
+        at[at == len(words)] = 0
+        found = words[at] == h
+        both = np.unique((owner[found] + a) * len(words) + at[found])
+        yield both // len(words), both % len(words)
+
+
+def _frequencies(docs: DataFrame, words: np.ndarray) -> np.ndarray:
+    """In how many rows of ``docs`` each of the words occurs: counts are added up by task first."""
+
+    def run(batches):
+        count = np.zeros(len(words), np.int64)
+        for batch in batches:
+            for _, place in _hits(batch["text"], words):
+                count += np.bincount(place, minlength=len(words))
+        held = np.flatnonzero(count)
+        yield pd.DataFrame({"place": held, "n": count[held]})
+
+    out = np.zeros(len(words), np.int64)
+    found = docs.select("text").mapInPandas(run, "place long, n long").groupBy("place").agg(F.sum("n").alias("n")).toPandas()
+    out[found["place"].to_numpy(np.int64)] = found["n"]
+    return out
+
+
 def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", positives: int = POSITIVES, unlabelled: int = UNLABELLED) -> Model:
     marks = labels.select("doc_id", F.col(label).cast("int").alias("label")).filter("label in (0, 1)").groupBy("doc_id").agg(F.max("label").alias("label")).filter(~held_out())
     n, toxic = marks.agg(F.count("*"), F.sum("label")).first()
@@ -87,38 +122,51 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", positives: int
     h = F.pmod(F.xxhash64("doc_id", F.lit(13)), F.lit(PICK))
     # At most ``positives`` ids: bounded, so they may be broadcast.
     chosen = marks.filter("label = 1").select("doc_id", h.alias("h")).orderBy("h", "doc_id").limit(positives).select("doc_id", F.lit(1).alias("p"))
-    total = docs.count()
-    share = h < pick_below(unlabelled, total)
-    rows = docs.filter(~held_out()).join(F.broadcast(chosen), "doc_id", "left").filter(share | F.col("p").isNotNull()).select("doc_id", F.coalesce("p", F.lit(0)).alias("p"), share.alias("u"), "text")
-    # One row of each id: an id that fills the table must not fill the sample.
-    rows = rows.groupBy("doc_id", "p", "u").agg(F.min("text").alias("text")).drop("doc_id")
+    docs = docs.select("doc_id", "text").filter(~held_out())
+    ids, total = docs.groupBy("doc_id").count().agg(F.count("*"), F.sum("count")).first()
+    share = h < pick_below(unlabelled, ids)
+    marked = F.broadcast(chosen)
 
     def run(batches):
         for batch in batches:
-            yield pd.DataFrame({"p": batch["p"], "u": batch["u"], "words": [s.tobytes() for s in word_sets(as_bytes(batch["text"]))]})
+            yield pd.DataFrame({"words": [s.tobytes() for s in word_sets(as_bytes(batch["text"]))]})
 
-    rows = rows.mapInPandas(run, "p int, u boolean, words binary").toPandas()
-    sets = [np.frombuffer(w, np.uint64) for w in rows["words"]]
-    p, u = rows["p"].to_numpy() == 1, rows["u"].to_numpy(bool)
-    if not p.any() or not u.any():
+    sets = [np.frombuffer(w, np.uint64) for w in _texts(docs.join(marked, "doc_id", "left_semi")).mapInPandas(run, "words binary").toPandas()["words"]]
+    if not sets:
         return Model()
-    words, column = np.unique(np.concatenate(sets), return_inverse=True)
-    row = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
-    inp = np.bincount(column[p[row]], minlength=len(words)) / p.sum()
-    inu = np.bincount(column[u[row]], minlength=len(words)) / u.sum()
-    # Words that mark positives off from the rest most surely.
-    z = (inp - inu) / np.sqrt((inu + 1 / u.sum()) / p.sum())
+    words, inp = np.unique(np.concatenate(sets), return_counts=True)
+    words, inp = words[inp >= SEEN], inp[inp >= SEEN] / len(sets)
+    if not len(words):
+        return Model(bias=float(np.log(prior / (1 - prior))))
+    # Rows are ids unless some repeat; only then are texts brought together.
+    inu = _frequencies(docs if total == ids else _texts(docs), words) / ids
+    # Words that mark positives off from the rest most surely; rarer ones than the steps can see count as that rare.
+    z = (inp - inu) / np.sqrt((inu + 1 / min(unlabelled, ids)) / len(sets))
     keep = np.sort(np.argsort(-z, kind="stable")[:WORDS])
-    keep = keep[(z[keep] > STANDS_OUT) & (inp[keep] * p.sum() >= SEEN - 0.5)]
+    keep = keep[z[keep] > STANDS_OUT]
     if not len(keep):
         return Model(bias=float(np.log(prior / (1 - prior))))
-    place = np.full(len(words), -1)
-    place[keep] = np.arange(len(keep))
-    used = place[column] >= 0
-    x = np.zeros((len(sets), len(keep)), np.float32)
-    x[row[used], place[column[used]]] = 1
+    words = words[keep]
+
+    def pick(batches):
+        for batch in batches:
+            rows = [b""] * len(batch)
+            for row, place in _hits(batch["text"], words):
+                edge = np.flatnonzero(np.diff(row, prepend=-1))
+                for r, held in zip(row[edge], np.split(place, edge[1:])):
+                    rows[r] = held.astype(np.uint16).tobytes()
+            yield pd.DataFrame({"p": batch["p"], "u": batch["u"], "held": rows})
+
+    some = _texts(docs.join(marked, "doc_id", "left").filter(share | F.col("p").isNotNull()).select("doc_id", "text"))
+    rows = some.join(marked, "doc_id", "left").select(F.col("p").isNotNull().alias("p"), share.alias("u"), "text").mapInPandas(pick, "p boolean, u boolean, held binary").toPandas()
+    p, u = rows["p"].to_numpy(bool), rows["u"].to_numpy(bool)
+    if not u.any():
+        return Model()
+    x = np.zeros((len(rows), len(words)), np.float32)
+    for i, held in enumerate(rows["held"]):
+        x[i, np.frombuffer(held, np.uint16)] = 1
     weights, bias = nnpu(x[p], x[u], prior)
-    return Model(words[keep], weights, float(bias))
+    return Model(words, weights, float(bias))
 
 
 def scores(model: Model, text: str = "text"):

@@ -7,6 +7,7 @@ import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from lexiforge.llm import chat_format, common, jaccard_join, media, nearest, packing, quality, registry, sentencepiece_codec, suffix_dedup, toxicity, url_filter
 
@@ -203,6 +204,24 @@ def test_samples_stay_bounded(spark, labels, monkeypatch):
     assert 0 < kept[0] < 40
 
 
+def test_toxicity_counts_words_of_all_documents(spark):
+    ids = [i for i in range(1000) if zlib.crc32(str(i).encode()) % 5]
+    wanted = 20
+    picked = spark.createDataFrame([(i,) for i in ids], "doc_id long").filter(F.pmod(F.xxhash64("doc_id", F.lit(13)), F.lit(common.PICK)) < common.pick_below(200, 1000))
+    picked = {r[0] for r in picked.collect()}
+    bad = set(ids[:60])
+    # Other documents hold "usual" unless they are among those that a sample may pick.
+    rows = [(i, "vile usual words" if i in bad else "fair words" if i in picked else "fair usual words") for i in ids]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    marks = spark.createDataFrame([(i, int(i in bad)) for i in ids], "doc_id long, toxic int")
+    names = dict(zip(("vile", "usual"), (toxicity.word_sets([w])[0][0] for w in (b"vile", b"usual"))))
+    model = toxicity.fit(docs, marks, unlabelled=wanted)
+    assert names["vile"] in model.words and names["usual"] not in model.words
+    # An id that fills the table leaves the sample's size as it is.
+    docs = docs.union(spark.range(100_000).selectExpr("%dL AS doc_id" % ids[-1], "'fair usual words' AS text"))
+    assert toxicity.fit(docs, marks, unlabelled=wanted).words.tolist() == model.words.tolist()
+
+
 def test_isotonic_and_nnpu():
     knots, values = quality.isotonic(np.array([1.0, 2, 3, 4]), np.array([0, 1, 0, 1]))
     assert (np.diff(values) >= 0).all() and len(knots) == 3
