@@ -225,7 +225,8 @@ def _settle(frame: pd.DataFrame) -> pd.DataFrame:
     if kind == 0:
         new[1:] |= name[1:] != name[:-1]
     first = np.flatnonzero(new)
-    least = ids[first[np.cumsum(new) - 1]]
+    run = np.cumsum(new) - 1
+    least = ids[first[run]]
     marks = np.zeros(len(rank), np.uint8)
     if kind == 0:
         for side in (0, 1):
@@ -233,7 +234,10 @@ def _settle(frame: pd.DataFrame) -> pd.DataFrame:
             by = np.argsort(code, kind="stable")
             same = np.zeros(len(by) + 1, bool)
             same[1:-1] = code[by][1:] == code[by][:-1]
-            marks[first[by[same[1:] | same[:-1]]]] |= 1 << side
+            shared = np.zeros(len(first), bool)
+            shared[by[same[1:] | same[:-1]]] = True
+            # Rows that repeat the smallest id may lie in several parts: each reranks its own.
+            marks[shared[run] & (ids == least)] |= 1 << side
     tell = np.flatnonzero((marks > 0) | (least < ids))
     tell = tell[np.argsort(owner[tell], kind="stable")]
     edge = np.searchsorted(owner[tell], np.arange(len(frame) + 1))

@@ -311,6 +311,20 @@ def test_suffix_small_passes(odd, monkeypatch):
     assert sorted(got, key=str) == brute_spans(odd_documents(), 50)
 
 
+def test_suffix_texts_under_one_id(spark, monkeypatch):
+    rng = random.Random(8)
+    monkeypatch.setattr(suffix_dedup, "PART_BYTES", 2000)
+    rows = []
+    for i in range(30):
+        left, middle, right = words(rng, 12), words(rng, 14), words(rng, 12)
+        rows.append((3 * i, f"{words(rng, 9)} {middle} {words(rng, 9)}"))
+        # Different texts under one id that hold one passage.
+        rows += [(3 * i + 1, f"{words(rng, 9)} {left} {middle} {right} {words(rng, 9)}") for _ in range(3)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = [(r["doc_id"], r["n_bytes"], hashlib.sha256(bytes(r["kept"])).hexdigest(), len(r["spans"])) for r in suffix_dedup.suffix_dedup(docs).collect()]
+    assert sorted(got, key=str) == brute_spans(rows, 50)
+
+
 # 9 --------------------------------------------------------------------------------------
 def test_media_round_trip_and_general_decoder():
     for n in (0, 1, 575, 576, 577, 5000):
