@@ -21,8 +21,9 @@ members, and a pair is verified only if it shares ``min(l_x, l_y)`` of them.
 6. Components follow by distributed label propagation.
 
 Defined cases.  Null or wordless text: ``n_shingles`` 0, linked with nothing.
-Null doc_id: the row is returned, with the component of equal sets' smallest
-id.  Repeated rows give repeated rows.  An empty table gives an empty result.
+Null doc_id: the row takes part, and its component is named by the smallest id that
+is not null, or null.  Repeated rows give repeated rows.  Texts that repeat a
+doc_id are compared each.  An empty table gives an empty result.
 Extra columns are ignored.  Hash collisions of 64-bit members are neglected.
 """
 
@@ -60,6 +61,13 @@ def _rows(batch: pd.DataFrame, size: int = 64):
         yield batch.iloc[i : i + size]
 
 
+def _set_name(s: np.ndarray) -> int:
+    """64-bit name of a set of hashed members."""
+    with np.errstate(over="ignore"):
+        name = mix(np.array([s.sum(dtype=np.uint64) * np.uint64(3) + mix(s ^ np.uint64(0x5BD1E995)).sum(dtype=np.uint64) + np.uint64(len(s))], np.uint64))
+    return int(name.view(np.int64)[0])
+
+
 def _signatures(docs: DataFrame, n: int, num: int, den: int) -> DataFrame:
     """doc_id, n, sid (64-bit name of the set), prefix (its first members)."""
 
@@ -69,11 +77,9 @@ def _signatures(docs: DataFrame, n: int, num: int, den: int) -> DataFrame:
                 ids, ns, sids, prefixes = [], [], [], []
                 for doc, s in zip(part["doc_id"], shingle_sets(as_bytes(part["text"]), n)):
                     k = len(s)
-                    with np.errstate(over="ignore"):
-                        name = mix(np.array([s.sum(dtype=np.uint64) * np.uint64(3) + mix(s ^ np.uint64(0x5BD1E995)).sum(dtype=np.uint64) + np.uint64(k)], np.uint64))
                     ids.append(doc)
                     ns.append(k)
-                    sids.append(int(name.view(np.int64)[0]) if k else None)
+                    sids.append(_set_name(s) if k else None)
                     prefixes.append(s[: min(k, k - _need(k, num, den) + _extra(k))].view(np.int64))
                 yield pd.DataFrame({"doc_id": pd.array(ids, "Int64"), "n": ns, "sid": pd.array(sids, "Int64"), "prefix": prefixes})
 
@@ -266,11 +272,11 @@ def jaccard_components(docs: DataFrame, n: int = 5, num: int = 80, den: int = 10
 
     signed = scratch.cut(_signatures(docs, n, num, den))
     names = scratch.cut(signed.filter("n > 0").groupBy("sid", "n").agg(F.min("doc_id").alias("rep")))
-    tokens = (
-        signed.filter("n > 0").join(names.select("sid", "rep"), "sid").filter("doc_id = rep")
-        .select("sid", "n", F.posexplode("prefix").alias("rank", "h"))
-    )
-    tokens = scratch.cut(tokens)
+    owned = signed.filter("n > 0").join(names.select("sid", "rep"), "sid").filter("doc_id = rep")
+    # Sets without any id: one row of each.
+    nameless = signed.filter("n > 0 AND doc_id IS NULL").dropDuplicates(["sid"]).join(names.filter("rep IS NULL").select("sid"), "sid", "left_semi")
+    held = owned.select("sid", "n", "prefix").union(nameless.select("sid", "n", "prefix"))
+    tokens = scratch.cut(held.select("sid", "n", F.posexplode("prefix").alias("rank", "h")))
     shared = scratch.cut(tokens.groupBy("h").agg(F.count("*").alias("df")).filter("df > 1"))
     held = tokens.join(shared, "h").groupBy("sid", "n").agg(F.collect_list("rank").alias("ranks"))
     chosen = scratch.cut(held.mapInPandas(_prune(num, den), "sid long, n long"))
@@ -283,9 +289,19 @@ def jaccard_components(docs: DataFrame, n: int = 5, num: int = 80, den: int = 10
         for batch in batches:
             for part in _rows(batch):
                 sets = shingle_sets(as_bytes(part["text"]), n)
-                yield pd.DataFrame({"sid": part["sid"], "n": [len(s) for s in sets], "members": [s.tobytes() for s in sets]})
+                # An id may have other texts than the one that is wanted.
+                mine = [(sid, len(s), s.tobytes()) for sid, s in zip(part["sid"], sets) if len(s) and _set_name(s) == sid]
+                yield pd.DataFrame(mine, columns=["sid", "n", "members"])
+
+    def unnamed(batches):
+        for batch in batches:
+            for part in _rows(batch):
+                sets = [s for s in shingle_sets(as_bytes(part["text"]), n) if len(s)]
+                yield pd.DataFrame({"sid": [_set_name(s) for s in sets], "n": [len(s) for s in sets], "members": [s.tobytes() for s in sets]})
 
-    full = docs.join(want, "doc_id").select("sid", "text").mapInPandas(whole, "sid long, n long, members binary")
+    kind = "sid long, n long, members binary"
+    full = docs.join(want, "doc_id").select("sid", "text").mapInPandas(whole, kind)
+    full = full.union(docs.filter("doc_id IS NULL").select("text").mapInPandas(unnamed, kind).dropDuplicates(["sid"]))
     full = scratch.cut(full.join(chosen, ["sid", "n"], "left_semi").dropDuplicates(["sid"]))
     weighed = scratch.cut(_weigh(full, num, den))
     scratch.drop(full)

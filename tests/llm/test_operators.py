@@ -84,6 +84,24 @@ def test_jaccard_tiles(odd, monkeypatch):
     assert got == brute_components(odd_documents(), 4, 85, 100)
 
 
+def test_jaccard_texts_under_one_id(spark):
+    rng = random.Random(3)
+    rows = []
+    for i in range(40):
+        # One id, two texts of equally many shingles; each has a near copy elsewhere.
+        for j in range(2):
+            text = words(rng, 60)
+            near = text.split()
+            near[-1] = "zz"
+            rows += [(4 * i, text), (4 * i + 1 + j, " ".join(near))]
+    # A text without an id, by itself and as the link of two others.
+    chain = words(rng, 100).split()
+    rows += [(500, " ".join(chain[:90])), (None, " ".join(chain[5:95])), (None, " ".join(chain[5:95])), (501, " ".join(chain[10:])), (None, words(rng, 20))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted(((r["doc_id"], r["n_shingles"], r["component_id"]) for r in jaccard_join.jaccard_components(docs, 5, 80, 100).collect()), key=str)
+    assert got == brute_components(rows, 5, 80, 100)
+
+
 # 2 --------------------------------------------------------------------------------------
 def test_chat_machine_and_round_trip(spark):
     rows = [
