@@ -3,7 +3,7 @@ passages, packing.  Each stage takes (spark, docs, sf_dir); its result is writte
 Parquet and read back as the next one's documents.
 
 Defined cases are those of the operators; rows with a null doc_id are judged by
-their text, never dropped as duplicates, and packed.  All but the last stage return
+their text and packed; as near copies they come after those with an id.  All but the last stage return
 the columns of documents.
 """
 
@@ -34,10 +34,20 @@ def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def jaccard_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies (five words, 0.8) the smallest doc_id stays."""
-    found = jaccard_join.jaccard_components(docs, n=5, num=80, den=100)
-    gone = Scratch(spark, "jaccard-gone").cut(found.filter("doc_id <> component_id").select("doc_id").distinct())
-    return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+    """Of each group of near copies (five words, 0.8) one row stays: that of the smallest
+    doc_id, nulls last; then of the least key of its text; then of the least other columns."""
+    scratch = Scratch(spark, "jaccard-gone")
+    found = jaccard_join.jaccard_components(docs, n=5, num=80, den=100, heads=True)
+    rows = found.groupBy(F.col("doc_id").alias("_id"), F.col("key").alias("_key")).agg(F.max("head").alias("head"), F.count("*").alias("rows"), F.max("n_shingles").alias("n"))
+    # (id, text) that goes, or that stays with one of several rows.
+    told = scratch.cut(rows.filter("NOT head OR (rows > 1 AND n > 0)").select("_id", "_key", "head"))
+    same = lambda t: docs["doc_id"].eqNullSafe(t["_id"]) & (jaccard_join.text_key(docs["text"]) == t["_key"])
+    alone = docs.join(told, same(told), "left_anti")
+    many = told.filter("head")
+    if not many.limit(1).count():
+        return alone
+    one = docs.join(many, same(many), "left_semi").groupBy("doc_id", jaccard_join.text_key().alias("_key")).agg(F.min(F.struct(*docs.columns)).alias("row"))
+    return alone.union(one.select("row.*"))
 
 
 def suffix_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

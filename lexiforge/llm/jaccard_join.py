@@ -69,7 +69,8 @@ def _set_name(s: np.ndarray) -> int:
 
 
 def _signatures(docs: DataFrame, n: int, num: int, den: int) -> DataFrame:
-    """doc_id, n, sid (64-bit name of the set), prefix (its first members)."""
+    """doc_id, n, sid (64-bit name of the set), prefix (its first members), key if there is one."""
+    keyed = "key" in docs.columns
 
     def run(batches):
         for batch in batches:
@@ -81,9 +82,9 @@ def _signatures(docs: DataFrame, n: int, num: int, den: int) -> DataFrame:
                     ns.append(k)
                     sids.append(_set_name(s) if k else None)
                     prefixes.append(s[: min(k, k - _need(k, num, den) + _extra(k))].view(np.int64))
-                yield pd.DataFrame({"doc_id": pd.array(ids, "Int64"), "n": ns, "sid": pd.array(sids, "Int64"), "prefix": prefixes})
+                yield pd.DataFrame({"doc_id": pd.array(ids, "Int64"), "n": ns, "sid": pd.array(sids, "Int64"), "prefix": prefixes} | ({"key": part["key"].to_numpy()} if keyed else {}))
 
-    return docs.mapInPandas(run, "doc_id long, n long, sid long, prefix array<long>")
+    return docs.mapInPandas(run, "doc_id long, n long, sid long, prefix array<long>" + ", key long" * keyed)
 
 
 def _prune(num: int, den: int):
@@ -260,18 +261,27 @@ def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
             return labels
 
 
-def jaccard_components(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100) -> DataFrame:
+def text_key(text="text"):
+    """64-bit name of a text, that tells texts under one doc_id apart."""
+    return F.xxhash64(text)
+
+
+def jaccard_components(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100, heads: bool = False) -> DataFrame:
     """One row per row of ``docs`` (doc_id, text): doc_id, n_shingles, component_id.
 
     Two texts link when ``den * intersection >= num * union`` of their word n-gram sets.
+    ``heads`` adds ``key`` (the text's key) and ``head``: whether (doc_id, key) is the least
+    of its component, null ids last.  Texts without words are heads.
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "jaccard")
     docs = columns_free_of(docs, "doc_id", "text")
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(TEXT_ROWS))
 
-    signed = scratch.cut(_signatures(docs, n, num, den))
-    names = scratch.cut(signed.filter("n > 0").groupBy("sid", "n").agg(F.min("doc_id").alias("rep")))
+    signed = scratch.cut(_signatures(docs.withColumn("key", text_key()) if heads else docs, n, num, den))
+    me = F.struct(F.col("doc_id").isNull().alias("null"), "doc_id", "key")
+    top = [F.min(me).alias("top")] if heads else []
+    names = scratch.cut(signed.filter("n > 0").groupBy("sid", "n").agg(F.min("doc_id").alias("rep"), *top))
     owned = signed.filter("n > 0").join(names.select("sid", "rep"), "sid").filter("doc_id = rep")
     # Sets without any id: one row of each.
     nameless = signed.filter("n > 0 AND doc_id IS NULL").dropDuplicates(["sid"]).join(names.filter("rep IS NULL").select("sid"), "sid", "left_semi")
@@ -351,10 +361,12 @@ def jaccard_components(docs: DataFrame, n: int = 5, num: int = 80, den: int = 10
     links = scratch.cut(linked.union(pairs).union(tiled))
 
     labels = components(links, scratch)
-    least = labels.withColumnRenamed("node", "sid").join(names.select("sid", "rep"), "sid")
+    least = labels.withColumnRenamed("node", "sid").join(names.drop("n"), "sid")
     least = scratch.cut(least)
-    low = least.groupBy("label").agg(F.min("rep").alias("component"))
-    placed = scratch.cut(names.select("sid", "rep").join(least.select("sid", "label"), "sid", "left").join(low, "label", "left").select("sid", F.coalesce("component", "rep").alias("component")))
-    return signed.select("doc_id", "n", "sid").join(placed, "sid", "left").select(
-        "doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"),
+    low = least.groupBy("label").agg(F.min("rep").alias("component"), *([F.min("top").alias("first")] if heads else []))
+    placed = names.drop("n").join(least.select("sid", "label"), "sid", "left").join(low, "label", "left")
+    placed = scratch.cut(placed.select("sid", F.coalesce("component", "rep").alias("component"), *([F.coalesce("first", "top").alias("first")] if heads else [])))
+    head = ["key", F.coalesce(me == F.col("first"), F.lit(True)).alias("head")] if heads else []
+    return signed.drop("prefix").join(placed, "sid", "left").select(
+        "doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"), *head,
     )

@@ -403,6 +403,27 @@ def test_pipeline_stages(spark, odd, tmp_path):
     assert p.run(spark, SMALL).count() == docs.count()
 
 
+def test_pipeline_near_copies_by_row(spark, odd):
+    import corpus_pipeline as p
+
+    rng = random.Random(4)
+    copied, clean = words(rng, 60), words(rng, 60)
+    more = [(100, copied), (101, copied), (101, clean), (None, words(rng, 40))]
+    more += [more[-1]] * 2
+    docs = odd.select("doc_id", "text", "lang").union(spark.createDataFrame([(*r, x) for r in more for x in ("en", "de")], "doc_id long, text string, lang string"))
+    rows = [tuple(r) for r in docs.withColumn("key", jaccard_join.text_key()).collect()]
+    # Components over row numbers tell groups without ids apart; wordless texts are alone.
+    want, best = [], {}
+    for (i, r), (_, size, c) in zip(enumerate(rows), sorted(brute_components([(i, r[1]) for i, r in enumerate(rows)], 5, 80, 100), key=lambda x: x[0])):
+        if size:
+            best.setdefault(c, []).append(((r[0] is None, r[0] or 0, r[3], r[2]), r[:3]))
+        else:
+            want.append(r[:3])
+    want += [min(group)[1] for group in best.values()]
+    got = [tuple(r) for r in p.jaccard_stage(spark, docs, SMALL).collect()]
+    assert sorted(got, key=str) == sorted(want, key=str)
+
+
 def test_pipeline_stages_take_odd_rows(spark, odd):
     import corpus_pipeline as p
 
