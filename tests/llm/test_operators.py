@@ -182,6 +182,52 @@ def test_nearest_recall_and_odd_rows(spark):
     assert len(few) == 2
 
 
+def brute_neighbours(ids, x, k=5):
+    """Ids of the k most similar other rows of each row whose id is divisible by 50."""
+    u = x / np.linalg.norm(x, axis=1)[:, None]
+    out = {}
+    for i in np.flatnonzero(ids % 50 == 0):
+        s = u @ u[i]
+        s[i] = -9
+        out[int(ids[i])] = {int(v) for v in ids[np.lexsort((ids, -np.round(s, 12)))][:k]}
+    return out
+
+
+@pytest.mark.parametrize("cell", [200, 10_000])
+def test_nearest_over_cells_blocks_and_chunks(spark, monkeypatch, cell):
+    rng = np.random.default_rng(5)
+    centres = rng.standard_normal((10, 64))
+    x = np.vstack([centres[i % 10] + rng.standard_normal(64) * 0.6 for i in range(4000)])
+    monkeypatch.setattr(nearest, "CELL", cell)
+    monkeypatch.setattr(nearest, "CELLS", 6)  # of 200 vectors each: cells of several blocks
+    monkeypatch.setattr(nearest, "CHUNK", 5)
+    monkeypatch.setattr(nearest, "SAMPLE", 500)
+    short = rng.standard_normal((30, 3))
+    rows = [(i, v.tolist()) for i, v in enumerate(x)] + [(5000 + i, v.tolist()) for i, v in enumerate(short)]
+    # One vector under very many ids, some of which ask.
+    rows += [(6000 + i, x[7].tolist()) for i in range(600)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(6)
+    got, verified = {}, {}
+    for r in nearest.neighbours(df).collect():
+        got.setdefault(r["query_id"], set()).add(r["vec_id"])
+        verified[r["query_id"]] = r["verified"]
+    want = brute_neighbours(np.arange(4000), x) | brute_neighbours(np.arange(5000, 5030), short)
+    hit = sum(len(got[q] & w) for q, w in want.items())
+    assert hit >= 0.9 * sum(map(len, want.values()))
+    assert np.mean([verified[q] for q in want if q < 5000]) < 0.3 * 4000
+    # Equal vectors: the smallest other ids.
+    assert all(got[q] == set([7, *range(6000, 6006)][: 6 if q < 6005 else 5]) - {q} for q in range(6000, 6600, 50))
+
+
+def test_nearest_recall_and_share_of_the_tables(spark):
+    table = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet")
+    rows = table.toPandas()
+    want = brute_neighbours(rows["vec_id"].to_numpy(), np.vstack(rows["embedding"]))
+    got = nearest.neighbours(table).toPandas()
+    hit = sum(len(set(g["vec_id"]) & want[q]) for q, g in got.groupby("query_id"))
+    assert hit >= 0.9 * 5 * len(want) and got["verified"].mean() < 0.3 * len(rows)
+
+
 # 6, 10 ----------------------------------------------------------------------------------
 @pytest.mark.parametrize("module,label,least", [(quality, "quality", 0.9), (toxicity, "toxic", 0.9)])
 def test_held_out_accuracy(spark, module, label, least):
