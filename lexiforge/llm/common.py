@@ -13,6 +13,7 @@ import gc
 import tempfile
 import time
 import uuid
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow
@@ -20,6 +21,30 @@ from pyspark.sql import DataFrame, SparkSession
 
 #: Bytes of text hashed in one numpy pass; bounds the temporary arrays.
 PASS_BYTES = 1 << 20
+#: Rows of an Arrow batch that holds whole texts.
+TEXT_ROWS = 512
+_ARROW = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+def text_batches(spark: SparkSession) -> None:
+    """Lower the session's Arrow batches to TEXT_ROWS rows for good; they are never raised.
+
+    Spark reads this setting when a plan runs, so a returned plan would lose its memory
+    bound if the setting were put back.
+    """
+    if not 0 < int(spark.conf.get(_ARROW)) <= TEXT_ROWS:
+        spark.conf.set(_ARROW, str(TEXT_ROWS))
+
+
+@contextmanager
+def batches_of(spark: SparkSession, rows: int):
+    """Smaller Arrow batches for what runs inside; the setting is put back."""
+    was = spark.conf.get(_ARROW)
+    spark.conf.set(_ARROW, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(_ARROW, was)
 
 
 #: What operators remember in a Python worker (word tables); Spark reuses workers.
@@ -58,6 +83,9 @@ def give_back(now: bool = False) -> None:
 class Scratch:
     """Intermediate tables of one operator call, in the shared checkpoint folder."""
 
+    #: Those made since the last :meth:`sweep`.
+    made: list["Scratch"] = []
+
     def __init__(self, spark: SparkSession, name: str):
         root = spark.conf.get("spark.checkpoint.dir", None)
         if not root:
@@ -69,24 +97,42 @@ class Scratch:
             spark.conf.set("spark.checkpoint.dir", root)
         self.spark = spark
         self.root = f"{root.rstrip('/')}/lexiforge-{name}-{uuid.uuid4().hex[:12]}"
-        self.count = 0
+        self.count, self.held = 0, []
+        Scratch.made.append(self)
 
-    def cut(self, df: DataFrame) -> DataFrame:
+    def cut(self, df: DataFrame, **options) -> DataFrame:
         """Write ``df`` and read it back: later plans start from files."""
         self.count += 1
         path = f"{self.root}/{self.count:03d}"
-        df.write.parquet(path)
+        df.write.options(**options).parquet(path)
+        self.held.append(path)
         out = self.spark.read.schema(df.schema).parquet(path)
         out._lexiforge_path = path
         return out
 
     def drop(self, *tables: DataFrame) -> None:
         """Delete tables that no later plan reads."""
-        jvm = self.spark._jvm
-        conf = self.spark.sparkContext._jsc.hadoopConfiguration()
         for table in tables:
-            path = jvm.org.apache.hadoop.fs.Path(table._lexiforge_path)
-            path.getFileSystem(conf).delete(path, True)
+            self._delete(table._lexiforge_path)
+
+    def finish(self, *kept: DataFrame) -> None:
+        """Delete all tables but those that the returned plan still reads."""
+        paths = [t._lexiforge_path for t in kept]
+        for path in [p for p in self.held if p not in paths]:
+            self._delete(path)
+
+    def _delete(self, name: str) -> None:
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(name)
+        path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+        if name in self.held:
+            self.held.remove(name)
+
+    @classmethod
+    def sweep(cls, *kept: DataFrame) -> None:
+        """Delete all tables made so far but ``kept``: once a pipeline's stage is written."""
+        for scratch in cls.made:
+            scratch.finish(*kept)
+        cls.made = [s for s in cls.made if s.held]
 
 
 def columns_free_of(df: DataFrame, *names: str) -> DataFrame:

@@ -23,7 +23,9 @@ members, and a pair is verified only if it shares ``min(l_x, l_y)`` of them.
 Defined cases.  Null or wordless text: ``n_shingles`` 0, linked with nothing.
 Null doc_id: the row takes part, and its component is named by the smallest id that
 is not null, or null.  Repeated rows give repeated rows.  Texts that repeat a
-doc_id are compared each.  An empty table gives an empty result.
+doc_id are compared each.  Very long texts are hashed whole, a row at a time.  Ties of
+cost or rank are broken by hash and name; they change which pairs are tried, never the
+components.  An empty table gives an empty result.
 Extra columns are ignored.  Hash collisions of 64-bit members are neglected.
 """
 
@@ -34,10 +36,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, as_bytes, columns_free_of, deal, dealt_runs, give_back, mix, shingle_sets, table_ceil
+from .common import Scratch, as_bytes, batches_of, columns_free_of, deal, dealt_runs, give_back, mix, shingle_sets, table_ceil, text_batches
 
-#: Documents in an Arrow batch when whole texts go through Python.
-TEXT_ROWS = 512
 #: A prefix member with more holders than this is compared tile against tile.
 PAIR_HOLDERS = 100
 #: Set members and sets in a tile, about.
@@ -276,7 +276,7 @@ def jaccard_components(docs: DataFrame, n: int = 5, num: int = 80, den: int = 10
     spark = docs.sparkSession
     scratch = Scratch(spark, "jaccard")
     docs = columns_free_of(docs, "doc_id", "text")
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(TEXT_ROWS))
+    text_batches(spark)
 
     signed = scratch.cut(_signatures(docs.withColumn("key", text_key()) if heads else docs, n, num, den))
     me = F.struct(F.col("doc_id").isNull().alias("null"), "doc_id", "key")
@@ -318,14 +318,14 @@ def jaccard_components(docs: DataFrame, n: int = 5, num: int = 80, den: int = 10
     chosen, sets = weighed.select("sid", "n", "l"), weighed.select("sid", "n", "body")
     posts = scratch.cut(weighed.select("sid", "n", "l", "far", F.explode("heads").alias("h")))
 
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "64")
     # Star round.
     best = F.min(F.struct("far", "sid", "n")).alias("top")
     lead = scratch.cut(posts.groupBy("h").agg(best, F.count("*").alias("df")).filter("df > 1").select("h", "df", F.col("top.sid").alias("y"), F.col("top.n").alias("ny")))
     fits = F.least("n", "ny") * den >= F.greatest("n", "ny") * num
     star = posts.join(lead, "h").filter((F.col("sid") != F.col("y"))).groupBy(F.col("sid").alias("x"), "y", fits.alias("fits")).count()
     star = scratch.cut(star.groupBy("x").agg(F.max(F.struct("fits", "count", "y")).alias("m")).select("x", "m.y", "m.fits"))
-    linked = scratch.cut(_verify(star.filter("fits").select("x", "y"), sets, num, den))
+    with batches_of(spark, 64):
+        linked = scratch.cut(_verify(star.filter("fits").select("x", "y"), sets, num, den))
 
     # What is left to compare: holders of one prefix member under different stars.
     label = linked.select(F.col("x").alias("sid"), F.col("y").alias("star"))
@@ -340,7 +340,9 @@ def jaccard_components(docs: DataFrame, n: int = 5, num: int = 80, den: int = 10
     y = rare.select(F.col("h").alias("g"), *[F.col(c).alias(f"{c}_y") for c in ("sid", "n", "l", "star")])
     met = x.join(y, (x.h == y.g) & (F.col("sid_x") < F.col("sid_y")) & (F.col("star_x") != F.col("star_y")) & (F.least("n_x", "n_y") * den >= F.greatest("n_x", "n_y") * num))
     pairs = met.groupBy(F.col("sid_x").alias("x"), F.col("sid_y").alias("y")).agg(F.count("*").alias("c"), F.min(F.least("l_x", "l_y")).alias("l")).filter("c >= l").select("x", "y")
-    pairs = scratch.cut(_verify(scratch.cut(pairs), sets, num, den))
+    pairs = scratch.cut(pairs)
+    with batches_of(spark, 64):
+        pairs = scratch.cut(_verify(pairs, sets, num, den))
 
     # Members with many holders: tiles of sets whose commonest member is the same.
     hot = mine.filter(F.col("df") > PAIR_HOLDERS)
@@ -353,11 +355,10 @@ def jaccard_components(docs: DataFrame, n: int = 5, num: int = 80, den: int = 10
     other = touch.select("h", F.col("tile").alias("other"))
     facing = scratch.cut(touch.join(other, "h").filter("tile <= other").select("tile", "other").distinct())
     bodies = scratch.cut(tiles.join(sets, "sid").groupBy("tile").agg(F.collect_list(F.struct("sid", "n", "body")).alias("all")).select("tile", F.col("all.sid").alias("sids"), F.col("all.n").alias("ns"), F.col("all.body").alias("bodies")))
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "4")
     right = bodies.select(F.col("tile").alias("other"), F.col("sids").alias("sids2"), F.col("ns").alias("ns2"), F.col("bodies").alias("bodies2"))
     blocks = facing.join(bodies, "tile").join(right, "other").select((F.col("tile") == F.col("other")).alias("same"), "sids", "ns", "bodies", "sids2", "ns2", "bodies2")
-    tiled = scratch.cut(blocks.mapInPandas(_tile_links(num, den), "x long, y long"))
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(TEXT_ROWS))
+    with batches_of(spark, 4):
+        tiled = scratch.cut(blocks.mapInPandas(_tile_links(num, den), "x long, y long"))
     links = scratch.cut(linked.union(pairs).union(tiled))
 
     labels = components(links, scratch)
@@ -366,6 +367,7 @@ def jaccard_components(docs: DataFrame, n: int = 5, num: int = 80, den: int = 10
     low = least.groupBy("label").agg(F.min("rep").alias("component"), *([F.min("top").alias("first")] if heads else []))
     placed = names.drop("n").join(least.select("sid", "label"), "sid", "left").join(low, "label", "left")
     placed = scratch.cut(placed.select("sid", F.coalesce("component", "rep").alias("component"), *([F.coalesce("first", "top").alias("first")] if heads else [])))
+    scratch.finish(signed, placed)
     head = ["key", F.coalesce(me == F.col("first"), F.lit(True)).alias("head")] if heads else []
     return signed.drop("prefix").join(placed, "sid", "left").select(
         "doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"), *head,
