@@ -311,6 +311,7 @@ def neighbours(vectors: DataFrame, every: int = 50, k: int = 5, sure: float = SU
         return scratch.cut(found)
 
     found = round_of(asked.withColumn("bar", F.lit(None).cast("double")))
+    kept = [found]
     if any(m.count > 1 for m in maps.values()):
         bars = found.filter("vec_id IS NULL").groupBy("query_id").agg(F.max("bar").alias("bar"))
         single = asked.select("length", "cell", "vec", F.explode("asks").alias("query_id")).distinct().join(bars, "query_id", "left")
@@ -330,12 +331,15 @@ def neighbours(vectors: DataFrame, every: int = 50, k: int = 5, sure: float = SU
                     cell = order[i, j]
                     away = cell != mine["cell"].to_numpy()[i]
                     i, cell = i[away], cell[away]
-                    out.append(pd.DataFrame({"length": int(n), "cell": cell, "vec": mine["vec"].to_numpy()[i], "asks": [[x] for x in mine["query_id"].to_numpy()[i]], "bar": bar[i]}))
+                    if len(i):
+                        out.append(pd.DataFrame({"length": int(n), "cell": cell, "vec": mine["vec"].to_numpy()[i], "asks": [[x] for x in mine["query_id"].to_numpy()[i]], "bar": bar[i]}))
                 if out:
                     yield pd.concat(out)
 
         more = scratch.cut(single.mapInPandas(visits, "length int, cell int, vec binary, asks array<long>, bar double"))
-        found = found.union(round_of(more))
+        kept.append(round_of(more))
+        found = found.union(kept[1])
+    scratch.finish(*kept)
     # A row without vec_id counts what a visit verified.
     best = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"), F.sum("verified").alias("verified"))
     mine = Window.partitionBy("query_id")
