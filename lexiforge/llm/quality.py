@@ -12,8 +12,10 @@ them) that are not held out, one of each id; statistics and scores cover every r
 Defined cases.  Null and empty texts have the statistics of an empty text and get a
 score.  A null doc_id counts as held out.  Repeated rows are scored each.  Null
 labels are no labels; of repeated labels the smallest counts.  With no labels, or
-labels of one kind only, every score is their mean (0.5 without any).  An empty
-table gives an empty result.  Extra columns are ignored.
+labels of one kind only, every score is their mean (0.5 without any).  Very long texts
+are read whole, by passes of bounded size.  Equal ridge scores get equal probabilities;
+rows that tie keep no order of their own.  An empty table gives an empty result.  Extra
+columns are ignored.
 """
 
 from __future__ import annotations
@@ -23,7 +25,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import PICK, Scratch, as_bytes, columns_free_of, held_out, passes, pick_below, word_hashes
+from .common import PICK, Scratch, as_bytes, columns_free_of, held_out, passes, pick_below, text_batches, word_hashes
 
 SAMPLE = 20_000
 FEATURES = 256
@@ -65,28 +67,24 @@ def statistics(docs: DataFrame) -> DataFrame:
             stats = text_statistics(as_bytes(batch["text"]))
             yield pd.DataFrame({"doc_id": batch["doc_id"].astype("Int64"), "stats": list(stats)})
 
-    docs.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "512")
+    text_batches(docs.sparkSession)
     return columns_free_of(docs, "doc_id", "text").mapInPandas(run, "doc_id long, stats array<double>")
 
 
 def isotonic(score: np.ndarray, label: np.ndarray):
     """Pool adjacent violators: (knots, values), values not falling."""
-    order = np.argsort(score, kind="stable")
-    x, y = score[order], label[order].astype(float)
+    x, at, weight = np.unique(score, return_inverse=True, return_counts=True)
     blocks: list[list[float]] = []  # sum, weight, first score
-    for s, v in zip(x, y):
-        if blocks and blocks[-1][2] == s:
-            blocks[-1][0] += v
-            blocks[-1][1] += 1
-        else:
-            blocks.append([v, 1.0, s])
+    for s, w, v in zip(x, weight.astype(float), np.bincount(at, label.astype(float))):
+        blocks.append([v, w, s])
         while len(blocks) > 1 and blocks[-2][0] * blocks[-1][1] >= blocks[-1][0] * blocks[-2][1]:
             v2, w2, _ = blocks.pop()
             blocks[-1][0] += v2
             blocks[-1][1] += w2
     knots = np.array([b[2] for b in blocks])
-    # Laplace's correction keeps probabilities off 0 and 1.
-    return knots, np.array([(b[0] + 0.5) / (b[1] + 1) for b in blocks])
+    # Clipping keeps probabilities off 0 and 1 and the order as it is.
+    edge = 0.5 / (len(score) + 1)
+    return knots, np.clip([b[0] / b[1] for b in blocks], edge, 1 - edge)
 
 
 class Model:
@@ -148,6 +146,7 @@ def fit(stats: DataFrame, labels: DataFrame, label: str, sample: int = SAMPLE, f
     rows = scratch.cut(rows).coalesce(FIT_PARTS)
     first = rows.first()
     if first is None:
+        scratch.finish()
         return Model(np.zeros(1), np.ones(1), 1, 1)
     dims = len(first["stats"])
     s = _sums(rows, lambda x, y, _: np.concatenate([[len(x), y.sum()], x.sum(0), (x * x).sum(0)]), 2 + 2 * dims)
@@ -179,6 +178,7 @@ def fit(stats: DataFrame, labels: DataFrame, label: str, sample: int = SAMPLE, f
         model.knots, model.values = isotonic(scored["score"].to_numpy(), scored["label"].to_numpy())
     else:
         model.values = np.full(1, positive / n)
+    scratch.finish()
     return model
 
 
