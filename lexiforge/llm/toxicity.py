@@ -13,7 +13,9 @@ counts; every whole text is scored.
 
 Defined cases.  Null and empty texts have no words and get the score of the bias
 alone.  A null doc_id counts as held out.  Repeated rows are scored each.  Null
-labels are no labels.  Without positives every score is 0.  An empty table gives an
+labels are no labels.  Without positives every score is 0 (to nine places).  Very long
+texts are read whole, by passes of bounded size.  Texts of the same known words tie; words
+that stand out alike are taken in the order of their hashes.  An empty table gives an
 empty result.  Extra columns are ignored.
 """
 
@@ -24,7 +26,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import PICK, as_bytes, columns_free_of, held_out, passes, pick_below, word_hashes
+from .common import PICK, as_bytes, columns_free_of, held_out, passes, pick_below, text_batches, word_hashes
 
 POSITIVES = 3_000
 UNLABELLED = 9_000
@@ -129,19 +131,27 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", positives: int
 
     def run(batches):
         for batch in batches:
-            yield pd.DataFrame({"words": [s.tobytes() for s in word_sets(as_bytes(batch["text"]))]})
-
-    sets = [np.frombuffer(w, np.uint64) for w in _texts(docs.join(marked, "doc_id", "left_semi")).mapInPandas(run, "words binary").toPandas()["words"]]
-    if not sets:
+            sets = word_sets(as_bytes(batch["text"]))
+            words, n = np.unique(np.concatenate([np.zeros(0, np.uint64), *sets]), return_counts=True)
+            yield pd.DataFrame({"word": words.view(np.int64), "n": n, "texts": 0})
+            yield pd.DataFrame({"word": [0], "n": [0], "texts": [len(sets)]})
+
+    # Words are counted where they are; only those that recur among the positives come here.
+    held = _texts(docs.join(marked, "doc_id", "left_semi")).mapInPandas(run, "word long, n long, texts long")
+    held = held.groupBy("word").agg(F.sum("n").alias("n"), F.sum("texts").alias("texts")).filter(f"texts > 0 OR n >= {SEEN}").toPandas()
+    size = int(held["texts"].sum())
+    if not size:
         return Model()
-    words, inp = np.unique(np.concatenate(sets), return_counts=True)
-    words, inp = words[inp >= SEEN], inp[inp >= SEEN] / len(sets)
+    held = held[held["n"] >= SEEN]
+    words = held["word"].to_numpy(np.int64).view(np.uint64)
+    order = np.argsort(words)
+    words, inp = words[order], held["n"].to_numpy(np.int64)[order] / size
     if not len(words):
         return Model(bias=float(np.log(prior / (1 - prior))))
     # Rows are ids unless some repeat; only then are texts brought together.
     inu = _frequencies(docs if total == ids else _texts(docs), words) / ids
     # Words that mark positives off from the rest most surely; rarer ones than the steps can see count as that rare.
-    z = (inp - inu) / np.sqrt((inu + 1 / min(unlabelled, ids)) / len(sets))
+    z = (inp - inu) / np.sqrt((inu + 1 / min(unlabelled, ids)) / size)
     keep = np.sort(np.argsort(-z, kind="stable")[:WORDS])
     keep = keep[z[keep] > STANDS_OUT]
     if not len(keep):
@@ -182,7 +192,7 @@ def scores(model: Model, text: str = "text"):
 def classify(docs: DataFrame, labels: DataFrame, label: str = "toxic", threshold: float = 0.5) -> DataFrame:
     """Per row of ``docs`` (doc_id, text): doc_id, held_out, score, predicted."""
     docs = columns_free_of(docs, "doc_id", "text")
-    docs.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "512")
+    text_batches(docs.sparkSession)
     model = fit(docs, labels, label)
 
     def run(batches):
