@@ -16,9 +16,14 @@ Characters outside the vocabulary become their UTF-8 bytes' pieces, each scored
 ``BYTE_COST`` below the least piece.  The white-space sign itself is such a
 character, so decoding gives back every text exactly.
 
+Merge-rank models mark pieces that merges never make with a score of -1e9; such a piece
+counts one below the least real score, so that sums of scores stay exact.
+
 Defined cases.  Null and empty texts: no pieces, score 0, one segmentation.  Ties
-of scores are broken by the earlier word and then the longer last pieces.  Null
-doc_ids are kept; repeated rows give equal values; an empty table an empty result.
+of scores are broken by the earlier word and then the longer last pieces.  Long texts
+are segmented whole; a text of one long word takes time and memory in proportion to it.
+Null doc_ids are kept; repeated rows give equal values; an empty table an empty result.
+Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -32,11 +37,12 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 
-from .common import MEMORIES, columns_free_of, turn_to
+from .common import MEMORIES, columns_free_of, text_batches, turn_to
 
 SIGN = "▁"
 BYTE_COST = 10.0
-WORDS_HELD = 1_200_000
+#: Words remembered by one Python worker, and their characters; beyond it the memory starts anew.
+WORDS_HELD, CHARS_HELD = 1_200_000, 24_000_000
 
 
 class Vocabulary:
@@ -165,7 +171,8 @@ class Codec:
         self.ids = np.zeros(1 << 16, np.int32)
         self.begin, self.size = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64)
         self.score, self.loss = np.zeros(1 << 16), np.zeros(1 << 16)
-        self.used = 0
+        self.used = self.chars = 0
+        self.others: dict[tuple[str, int], list] = {}
 
     def _learn(self, word: str):
         score, ids, loss = self.vocabulary.best_two(word)
@@ -177,18 +184,22 @@ class Codec:
             self.ids = np.resize(self.ids, 2 * len(self.ids) + n)
         self.ids[self.used : self.used + n] = ids
         self.begin[k], self.size[k], self.score[k], self.loss[k] = self.used, n, score, loss
-        self.at[word], self.used = k, self.used + n
+        self.at[word], self.used, self.chars = k, self.used + n, self.chars + len(word)
 
-    def encode(self, text: str, n: int = 1):
-        """(ids of the best segmentation, scores of the n best, what the others change).
+    def _n_best(self, word: str, n: int):
+        """The vocabulary's n best of a word, remembered."""
+        found = self.others.get((word, n))
+        if found is None:
+            found = self.others[word, n] = self.vocabulary.n_best(word, n)
+            self.chars += len(word) * n
+        return found
 
-        The last item has one entry per further segmentation: a list of (word
-        number, ids of that word) that differ from the best.
-        """
+    def encode(self, text: str, n: int = 1):
+        """(ids, scores) of the n best segmentations, best first (fewer if there are fewer)."""
         words = self.vocabulary.words(text)
         at = self.at
         new = set(words).difference(at)
-        if len(at) + len(new) > WORDS_HELD and at:
+        if at and (len(at) + len(new) > WORDS_HELD or self.chars > CHARS_HELD):
             self._forget()
             at, new = self.at, set(words)
         for w in new:
@@ -199,8 +210,8 @@ class Codec:
         ids = self.ids[np.repeat(begin, size) + np.arange(int(size.sum()))]
         best = float(self.score[k].sum())
         if n == 1 or not len(k):
-            return ids, [best], []
-        loss = self.loss[k]
+            return [ids], [best]
+        loss, stop = self.loss[k], np.cumsum(size)
         # The n - 1 least losses, earlier words first among equals.
         bar = np.partition(loss, n - 2)[n - 2] if len(loss) >= n else np.inf
         near = np.flatnonzero(loss <= bar)
@@ -208,8 +219,11 @@ class Codec:
         single = []
         for place in near:
             if np.isfinite(loss[place]):
-                found = self.vocabulary.n_best(words[place], n)
-                single += [(found[0][0] - s, int(place), r, other) for r, (s, other) in enumerate(found) if r]
+                # Among ties the search may come upon another best than the forward pass.
+                mine = ids[stop[place] - size[place] : stop[place]].tolist()
+                found = self._n_best(words[place], n)
+                rest = [(s, other) for s, other in found if other != mine][: n - 1]
+                single += [(found[0][0] - s, int(place), r, other) for r, (s, other) in enumerate(rest)]
         single = sorted(single, key=lambda x: x[:3])[: n - 1]
         sums = []
         for r in range(1, n):
@@ -217,7 +231,15 @@ class Codec:
                 if len({s[1] for s in some}) == r:
                     sums.append((sum(s[0] for s in some), [s[1:3] for s in some], some))
         sums = sorted(sums, key=lambda x: x[:2])[: n - 1]
-        return ids, [best, *[best - s[0] for s in sums]], [[(x[1], x[3]) for x in s[2]] for s in sums]
+        # Other segmentations differ from the best in a few words.
+        out = [ids]
+        for _, _, changed in sums:
+            parts, done = [], 0
+            for _, place, _, other in sorted(changed, key=lambda x: x[1]):
+                parts += [ids[done : stop[place] - size[place]], other]
+                done = stop[place]
+            out.append(np.concatenate([*parts, ids[done:]]).astype(np.int32))
+        return out, [best, *[best - s[0] for s in sums]]
 
     def decode(self, ids) -> str:
         shown = self.vocabulary.shown
@@ -235,9 +257,9 @@ def codec(path: str) -> Codec:
 
 
 def encode(docs: DataFrame, path: str, n: int = 4, with_ids: bool = True) -> DataFrame:
-    """Per row of ``docs`` (doc_id, text): doc_id, n_pieces, ids (or null), ids_crc32,
-    scores (of the n best segmentations), n_best_changed (words that the second best
-    segments otherwise), decoded_ok (decoding gives back the text)."""
+    """Per row of ``docs`` (doc_id, text): doc_id, n_pieces and ids_crc32 of the best
+    segmentation, segmentations (score, n_pieces, ids_crc32 and, ``with_ids``, the ids of
+    the n best, best first), decoded_ok (decoding the best gives back the text)."""
 
     def run(batches):
         coder = codec(path)
@@ -245,14 +267,16 @@ def encode(docs: DataFrame, path: str, n: int = 4, with_ids: bool = True) -> Dat
             rows = []
             for doc, text in zip(batch["doc_id"], batch["text"]):
                 text = text if isinstance(text, str) else ""
-                ids, scores, other = coder.encode(text, n)
-                rows.append((doc, len(ids), ids.astype(np.int32) if with_ids else None, zlib.crc32(ids.astype("<u4").tobytes()), scores, len(other[0]) if other else 0, coder.decode(ids.tolist()) == text))
-            out = pd.DataFrame(rows, columns=["doc_id", "n_pieces", "ids", "ids_crc32", "scores", "n_best_changed", "decoded_ok"])
+                found, scores = coder.encode(text, n)
+                said = [{"score": s, "n_pieces": len(ids), "ids_crc32": zlib.crc32(ids.astype("<u4").tobytes())} | ({"ids": ids} if with_ids else {}) for s, ids in zip(scores, found)]
+                rows.append((doc, len(found[0]), said[0]["ids_crc32"], said, coder.decode(found[0].tolist()) == text))
+            out = pd.DataFrame(rows, columns=["doc_id", "n_pieces", "ids_crc32", "segmentations", "decoded_ok"])
             out["doc_id"] = out["doc_id"].astype("Int64")
             yield out
 
-    docs.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "512")
-    return columns_free_of(docs, "doc_id", "text").mapInPandas(run, "doc_id long, n_pieces int, ids array<int>, ids_crc32 long, scores array<double>, n_best_changed int, decoded_ok boolean")
+    text_batches(docs.sparkSession)
+    one = "score:double,n_pieces:int,ids_crc32:long" + ",ids:array<int>" * with_ids
+    return columns_free_of(docs, "doc_id", "text").mapInPandas(run, f"doc_id long, n_pieces int, ids_crc32 long, segmentations array<struct<{one}>>, decoded_ok boolean")
 
 
 def decode(encoded: DataFrame, path: str) -> DataFrame:
