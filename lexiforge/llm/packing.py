@@ -13,8 +13,10 @@ repeat both id and text are spread by the partition they were read from.
 Token ids never leave the task that made them unless asked for (``with_ids``).
 
 Defined cases.  Null or empty text: the closing id alone.  Null doc_id: packed
-like others.  Repeated rows are packed each.  An empty table gives an empty
-result.  Extra columns are ignored.
+like others.  Repeated rows are packed each.  Very long texts become as many pieces as
+they need, in the shards of their pieces.  Pieces of equal length are placed in the order
+of doc_id (nulls first), piece and ids_crc32.  An empty table gives an empty result.
+Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -28,11 +30,11 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import MEMORIES, columns_free_of, turn_to
+from .common import MEMORIES, columns_free_of, text_batches, turn_to
 
-#: Words remembered by one Python worker; beyond it the memory starts anew.
-WORDS_HELD = 800_000
-#: Pieces in a shard, about.
+#: Words remembered by one Python worker, and their characters; beyond it the memory starts anew.
+WORDS_HELD, CHARS_HELD = 800_000, 16_000_000
+#: Pieces in a shard, at most about.
 SHARD_PIECES = 20_000
 
 # The vocabulary's own pre-tokenizer pattern, for texts below U+0180 (whose
@@ -56,7 +58,7 @@ class Encoder:
         self.ids = np.zeros(1 << 16, np.uint32)
         self.begin = np.zeros(1 << 16, np.int64)
         self.size = np.zeros(1 << 16, np.int32)
-        self.used = 0
+        self.used = self.chars = 0
 
     def _learn(self, words: list[str]):
         """One encoding of all new words, set apart by spaces; word_ids tells them apart again."""
@@ -74,6 +76,7 @@ class Encoder:
         self.begin[k : k + len(words)] = self.used + np.cumsum(size) - size
         self.at.update(zip(words, range(k, k + len(words))))
         self.used += n
+        self.chars += sum(map(len, words))
 
     def _known(self, words: list[str]) -> np.ndarray:
         """Numbers of the words, -1 for new ones."""
@@ -91,7 +94,7 @@ class Encoder:
                 split.append((i, _PATTERN.findall(text.lower())))
         coded = [(i, words, self._known(words)) for i, words in split]
         new = {words[j] for _, words, k in coded for j in np.flatnonzero(k < 0)}
-        if len(self.at) + len(new) > WORDS_HELD and self.at:
+        if self.at and (len(self.at) + len(new) > WORDS_HELD or self.chars > CHARS_HELD):
             self._forget()
             return self.encode_many(texts)
         if new:
@@ -190,10 +193,11 @@ def token_pieces(docs: DataFrame, path: str, capacity: int = 2048, closing: int
 def pack(docs: DataFrame, path: str, capacity: int = 2048, closing: int = 0, with_ids: bool = False) -> DataFrame:
     """The pieces of every row of ``docs`` (doc_id, text) with sequence_id and offset."""
     spark = docs.sparkSession
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "512")
+    text_batches(spark)
     pieces = token_pieces(docs, path, capacity, closing, with_ids)
-    rows = docs.count()
-    shards = max(1, rows // SHARD_PIECES)
+    # A token holds a byte at least: this many pieces or fewer.
+    most = docs.agg(F.count("*") + F.coalesce(F.sum(F.expr(f"octet_length(text) div {capacity}")), F.lit(0))).first()[0]
+    shards = max(1, most // SHARD_PIECES)
     pieces = pieces.withColumn("shard", F.pmod(F.xxhash64("doc_id", "ids_crc32", "start", F.spark_partition_id()), F.lit(shards)))
 
     def place(key, frame):
