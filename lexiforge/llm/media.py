@@ -14,7 +14,7 @@ depend on the machine), chroma is upsampled, and RGB comes out in full size.
 
 Defined cases.  Null text: an empty payload, padded as any other.  Long texts use
 a wider image (a JPEG has at most 65535 rows).  Repeated rows give equal values.
-Null doc_ids are kept.  An empty table gives an empty result.
+Null doc_ids are kept.  An empty table gives an empty result.  Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -27,7 +27,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 
-from .common import as_bytes, columns_free_of
+from .common import Scratch, as_bytes, columns_free_of, text_batches
 
 UNIT, CARRIED, PAD = 576, 48, 255
 MOST_ROWS = 4095  # of 16 pixels
@@ -337,45 +337,62 @@ def rgb(frame: Frame) -> np.ndarray:
     return out
 
 
-def media_column(docs: DataFrame, tensors: bool = True) -> DataFrame:
-    """doc_id, n_bytes, media (JPEG file), height, width, rgb (row-major bytes; null without ``tensors``)."""
+#: Rows whose tensors are made at a time.
+TENSOR_ROWS = 16
+
+
+def media_column(docs: DataFrame) -> DataFrame:
+    """doc_id, n_bytes, media (a progressive JPEG file of the padded text)."""
 
     def run(batches):
         for batch in batches:
-            rows = []
-            for doc, text in zip(batch["doc_id"], as_bytes(batch["text"])):
-                media = encode(pad(text))
-                frame = decode(media)
-                rows.append((doc, len(text), media, frame.height, frame.width, rgb(frame).tobytes() if tensors else None))
-            out = pd.DataFrame(rows, columns=["doc_id", "n_bytes", "media", "height", "width", "rgb"])
-            out["doc_id"] = out["doc_id"].astype("Int64")
-            yield out
+            texts = as_bytes(batch["text"])
+            yield pd.DataFrame({"doc_id": batch["doc_id"].astype("Int64"), "n_bytes": [len(t) for t in texts], "media": [encode(pad(t)) for t in texts]})
+
+    text_batches(docs.sparkSession)
+    return columns_free_of(docs, "doc_id", "text").mapInPandas(run, "doc_id long, n_bytes long, media binary")
+
 
-    docs.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "64")
-    return columns_free_of(docs, "doc_id", "text").mapInPandas(run, "doc_id long, n_bytes long, media binary, height int, width int, rgb binary")
+def tensors(stored: DataFrame) -> DataFrame:
+    """doc_id, height, width, rgb (height x width x 3 bytes, row by row) of a media column."""
 
+    def run(batches):
+        for batch in batches:
+            for at in range(0, len(batch), TENSOR_ROWS):
+                some = batch.iloc[at : at + TENSOR_ROWS]
+                frames = [decode(bytes(m)) for m in some["media"]]
+                yield pd.DataFrame({"doc_id": some["doc_id"].astype("Int64").to_numpy(object), "height": [f.height for f in frames], "width": [f.width for f in frames], "rgb": [rgb(f).tobytes() for f in frames]}).astype({"doc_id": "Int64"})
+
+    text_batches(stored.sparkSession)
+    return columns_free_of(stored, "doc_id", "media").mapInPandas(run, "doc_id long, height int, width int, rgb binary")
 
-def digest(text: bytes) -> tuple:
-    """The stored form of one text, read back: sizes, hashes and features."""
-    media = encode(pad(text))
+
+def digest(media: bytes) -> tuple:
+    """What a stored file holds: its payload's size and hashes, its own, and features of its image."""
     frame = decode(media)
     payload, image = payload_of(frame), rgb(frame)
     means = ",".join(f"{image[:, :, i].sum(dtype=np.int64) / image[:, :, i].size:.3f}" for i in range(3))
     feature = f"{frame.height}x{frame.width}x3 mean {means} crc {zlib.crc32(image.tobytes()):08x}"
-    return (len(text), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-32:]), len(media), hashlib.sha256(media).hexdigest(), feature)
+    return (len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-32:]), len(media), hashlib.sha256(media).hexdigest(), feature)
 
 
-def media_digests(docs: DataFrame) -> DataFrame:
-    """Digest columns of :func:`media_column` without moving its tensors through Arrow."""
-    names = ["n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"]
+def media_digests(stored: DataFrame) -> DataFrame:
+    """doc_id, n_bytes and the digest of each file of a stored media column (doc_id, n_bytes, media)."""
+    names = ["payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"]
 
     def run(batches):
         for batch in batches:
-            out = pd.DataFrame([digest(t) for t in as_bytes(batch["text"])], columns=names)
+            out = pd.DataFrame([digest(bytes(m)) for m in batch["media"]], columns=names)
             out.insert(0, "doc_id", batch["doc_id"].astype("Int64").to_numpy(object))
+            out.insert(1, "n_bytes", batch["n_bytes"].to_numpy())
             out["doc_id"] = out["doc_id"].astype("Int64")
             yield out
 
-    docs.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "512")
+    text_batches(stored.sparkSession)
     schema = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
-    return columns_free_of(docs, "doc_id", "text").mapInPandas(run, schema)
+    return columns_free_of(stored, "doc_id", "n_bytes", "media").mapInPandas(run, schema)
+
+
+def store(docs: DataFrame) -> DataFrame:
+    """The media column written to the shared folder and read back."""
+    return Scratch(docs.sparkSession, "media").cut(media_column(docs), compression="zstd")

@@ -33,8 +33,7 @@ def op2_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = sentencepiece_codec.encode(read(spark, sf_dir, "documents"), tokenizer_path("piece_bpe_32k.model"), n=4, with_ids=False)
-    return out.drop("ids")
+    return sentencepiece_codec.encode(read(spark, sf_dir, "documents"), tokenizer_path("piece_bpe_32k.model"), n=4, with_ids=False)
 
 
 RULES = [url_filter.Rule(*r) for r in (("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"), ("allow", "com/fr/"), ("block", "com/de/"))]
@@ -62,7 +61,7 @@ def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_media(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return media.media_digests(read(spark, sf_dir, "documents"))
+    return media.media_digests(media.store(read(spark, sf_dir, "documents")))
 
 
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
