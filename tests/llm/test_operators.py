@@ -118,6 +118,27 @@ def test_chat_machine_and_round_trip(spark):
     losses = {r["conv_id"]: [(s["text"], s["loss"]) for s in r["segments"] if s["loss"]] for r in chats.collect()}
     assert losses[1] == [("ok\\\\", True)] and losses[3] == []
     assert chat_format.chat_digest(chat_format.format_chats(df.limit(0))).count() == 0
+    # Rows without a conversation are each their own.
+    alone = df.filter("conv_id IS NULL").union(df.filter("conv_id IS NULL"))
+    assert [r["n_turns"] for r in chat_format.format_chats(alone).collect()] == [1, 1]
+
+
+@pytest.mark.parametrize("marks", [{}, {"start": "[S]", "end": "[E]"}, {"start": "<<", "end": "end;", "after_role": ": ", "after_turn": ""}, {"after_role": "nl", "start": "aac", "end": "bax"}])
+def test_chat_templates_escape_their_own_marks(spark, marks):
+    t = chat_format.Template(**marks)
+    rng = random.Random(7)
+    bits = [t.start, t.end, t.after_role, t.after_turn, "\\", t.start[:2], t.end[:2], t.end[0], t.start[0], t.end[1:], "a", "n", "r", "\n", "é😀", t.role_code]
+    rows = [(c, i, "".join(rng.choices(bits, k=rng.randint(0, 5))), "".join(rng.choices(bits, k=rng.randint(0, 8)))) for c in range(60) for i in range(4)]
+    rows += [(60, 0, "user\nx", f"a{t.end}{t.after_turn}{t.start}assistant{t.after_role}forged"), (60, 1, "assistant", "ok")]
+    chats = chat_format.format_chats(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"), t)
+    for r in chats.select("conv_id", chat_format.parse(chats.formatted, t).alias("b")).collect():
+        assert [tuple(x) for x in r["b"]] == [x[2:] for x in rows if x[0] == r["conv_id"]]
+
+
+@pytest.mark.parametrize("marks", [{"start": "["}, {"end": "\\>"}, {"after_role": ""}, {"end": "aXa", "after_turn": ""}, {"after_role": "<"}])
+def test_chat_templates_that_cannot_be_escaped(marks):
+    with pytest.raises(ValueError):
+        chat_format.Template(**marks)
 
 
 # 3 --------------------------------------------------------------------------------------
@@ -131,13 +152,23 @@ def test_sentencepiece_n_best_and_round_trip(odd):
         return [(a + s, p + i) for start, i, s in v.edges(word, end) for a, p in every(word, start)]
 
     for text in ("the cat", "a▁ \n b", "é中 x", "aaaa aaaa", " "):
-        want = sorted((s for s, _ in every(" " + text, len(text) + 1)), reverse=True)[:4]
-        ids, scores, _ = coder.encode(text, 4)
+        all_of = {p: s for s, p in every(" " + text, len(text) + 1)}
+        want = sorted(all_of.values(), reverse=True)[:4]
+        found, scores = coder.encode(text, 4)
         assert scores == pytest.approx(want)
-        assert coder.decode(ids.tolist()) == text
+        # Different segmentations, each of its score, and each the text.
+        assert len({tuple(ids.tolist()) for ids in found}) == len(found) == len(want)
+        assert [all_of[tuple(ids.tolist())] for ids in found] == pytest.approx(want)
+        assert all(coder.decode(ids.tolist()) == text for ids in found)
         assert [s for s, _ in v.n_best(" " + text, 4)] == pytest.approx(want)
-    rows = sentencepiece_codec.encode(odd, registry.tokenizer_path("piece_bpe_32k.model")).collect()
+    path = registry.tokenizer_path("piece_bpe_32k.model")
+    rows = sentencepiece_codec.encode(odd, path).collect()
     assert len(rows) == len(odd_documents()) and all(r["decoded_ok"] for r in rows)
+    assert all(coder.decode(s["ids"]) == coder.decode(r["segmentations"][0]["ids"]) for r in rows for s in r["segmentations"])
+    digests = {str((r["doc_id"], [s["ids_crc32"] for s in r["segmentations"]])) for r in sentencepiece_codec.encode(odd, path, with_ids=False).collect()}
+    assert digests == {str((r["doc_id"], [zlib.crc32(np.array(s["ids"], "<u4").tobytes()) for s in r["segmentations"]])) for r in rows}
+    back = sentencepiece_codec.decode(sentencepiece_codec.encode(odd, path).select("doc_id", F.col("segmentations")[0]["ids"].alias("ids")), path)
+    assert sorted(map(str, back.collect())) == sorted(map(str, odd.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).collect()))
     assert sentencepiece_codec.encode(odd.limit(0), registry.tokenizer_path("piece_bpe_32k.model")).count() == 0
 
 
@@ -256,8 +287,8 @@ def test_samples_stay_bounded(spark, labels, monkeypatch):
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     marks = labels.filter("doc_id < 40")
     seen = []
-    whole = toxicity.np.concatenate
-    monkeypatch.setattr(toxicity.np, "concatenate", lambda sets: (seen.append(len(sets)), whole(sets))[1])
+    whole = toxicity._texts
+    monkeypatch.setattr(toxicity, "_texts", lambda d: (seen.append(whole(d).count()), whole(d))[1])
     toxicity.fit(docs, marks)
     monkeypatch.undo()
     assert 0 < seen[0] < 40
@@ -286,6 +317,88 @@ def test_toxicity_counts_words_of_all_documents(spark):
     assert toxicity.fit(docs, marks, unlabelled=wanted).words.tolist() == model.words.tolist()
 
 
+def test_isotonic_against_its_definition():
+    rng = np.random.default_rng(9)
+    for _ in range(60):
+        n = int(rng.integers(2, 40))
+        x, y = np.round(rng.standard_normal(n), 1), rng.integers(0, 2, n)
+        knots, values = quality.isotonic(x, y)
+        assert (np.diff(values) >= 0).all() and (np.diff(knots) > 0).all()
+        # Fitted value: the greatest over beginnings of the least over ends of the means.
+        u = np.unique(x)
+        mean = lambda a, b: y[(x >= u[a]) & (x <= u[b])].mean()
+        for i, at in enumerate(u):
+            want = max(min(mean(a, b) for b in range(i, len(u))) for a in range(i + 1))
+            got = values[np.searchsorted(knots, at, side="right") - 1]
+            assert got == pytest.approx(np.clip(want, 0.5 / (n + 1), 1 - 0.5 / (n + 1)))
+
+
+def test_quality_model_against_one_node(spark):
+    folder = "/root/testdata/sf0.01"
+    docs = spark.read.parquet(f"{folder}/documents.parquet").toPandas()
+    marks = spark.read.parquet(f"{folder}/labels.parquet").toPandas()
+    got = quality.classify(spark.read.parquet(f"{folder}/documents.parquet"), spark.read.parquet(f"{folder}/labels.parquet")).toPandas().set_index("doc_id")
+    # All rows at once, by least squares on the lifted statistics with the penalty as extra rows.
+    stats = quality.text_statistics([(t or "").encode() for t in docs["text"]])
+    label = docs["doc_id"].map(marks.dropna().groupby("doc_id")["quality"].min())
+    learn = label.notna().to_numpy() & np.array([zlib.crc32(str(d).encode()) % 5 != 0 for d in docs["doc_id"]])
+    x, y = stats[learn], label[learn].to_numpy(float)
+    model = quality.Model(x.mean(0), x.std(0) + 1e-6, x.shape[1], quality.FEATURES)
+    d = quality.FEATURES + 1
+
+    def ridge(rows):
+        z = np.vstack([model.lift(x[rows]), np.sqrt(quality.RIDGE) * np.eye(d)])
+        return np.linalg.lstsq(z, np.append(y[rows], np.zeros(d)), rcond=None)[0]
+
+    ids = spark.createDataFrame([(int(i),) for i in docs["doc_id"][learn]], "doc_id long")
+    half = ids.select("doc_id", F.pmod(F.shiftright(F.xxhash64("doc_id"), 52), F.lit(2)).alias("half")).toPandas().set_index("doc_id")["half"].loc[docs["doc_id"][learn]].to_numpy()
+    apart = np.where(half == 0, model.lift(x) @ ridge(half == 1), model.lift(x) @ ridge(half == 0))
+    model.weights = ridge(np.ones(len(x), bool))
+    model.knots, model.values = quality.isotonic(apart, y)
+    want = model.score(stats)
+    mine = got["score"].loc[docs["doc_id"]].to_numpy()
+    # Sums in another order may move a score over a step of the calibration.
+    assert (np.abs(mine - want) < 1e-6).mean() > 0.98
+
+
+def test_toxicity_model_against_one_node(spark):
+    folder = "/root/testdata/sf0.01"
+    docs = spark.read.parquet(f"{folder}/documents.parquet").toPandas()
+    marks = spark.read.parquet(f"{folder}/labels.parquet")
+    model = toxicity.fit(spark.read.parquet(f"{folder}/documents.parquet"), marks)
+    marks = marks.toPandas().dropna().groupby("doc_id")["toxic"].max()
+    keep = [zlib.crc32(str(d).encode()) % 5 != 0 for d in docs["doc_id"]]
+    sets = toxicity.word_sets([(t or "").encode() for t in docs["text"][keep]])
+    toxic = docs["doc_id"][keep].map(marks).fillna(0).to_numpy() == 1
+    seen = {}
+    for s, t in zip(sets, toxic):
+        for w in s.tolist():
+            seen.setdefault(w, [0, 0])[1] += 1
+            seen[w][0] += t
+    z = {w: (p / toxic.sum() - n / len(sets)) / np.sqrt((n / len(sets) + 1 / min(toxicity.UNLABELLED, len(sets))) / toxic.sum()) for w, (p, n) in seen.items() if p >= toxicity.SEEN}
+    want = sorted(w for w in sorted(z, key=lambda w: (-z[w], w))[: toxicity.WORDS] if z[w] > toxicity.STANDS_OUT)
+    assert model.words.tolist() == want
+    x = np.array([np.isin(model.words, s) for s in sets], np.float32)
+    prior = marks[[zlib.crc32(str(d).encode()) % 5 != 0 for d in marks.index]].mean()
+    weights, bias = toxicity.nnpu(x[toxic], x, prior)
+    assert np.abs(model.score(sets) - toxicity.Model(model.words, weights, bias).score(sets)).max() < 0.02
+
+
+def test_nnpu_follows_its_risk():
+    rng = np.random.default_rng(4)
+    xp, xu = rng.integers(0, 2, (60, 4)).astype(np.float32), rng.integers(0, 2, (200, 4)).astype(np.float32)
+    xp[:, 0] = 1
+
+    def risk(w, b, p=0.2):
+        loss = lambda x, y: np.logaddexp(0, -y * (x @ w + b)).mean()
+        return p * loss(xp, 1) + max(0.0, loss(xu, -1) - p * loss(xp, -1))
+
+    w, b = toxicity.nnpu(xp, xu, 0.2, steps=3000, decay=0.0)
+    here = risk(w, b)
+    for _ in range(200):
+        assert risk(w + rng.standard_normal(4) * 0.3, b + rng.standard_normal() * 0.3) >= here - 2e-3
+
+
 def test_isotonic_and_nnpu():
     knots, values = quality.isotonic(np.array([1.0, 2, 3, 4]), np.array([0, 1, 0, 1]))
     assert (np.diff(values) >= 0).all() and len(knots) == 3
@@ -315,11 +428,65 @@ def test_packing(odd):
         assert at <= 2048
     total = sum(r["length"] for r in rows)
     assert len(room) <= -(-total // 2048) + 1
-    want = sorted(str([*plain.encode(t or "", add_special_tokens=False).ids, 0]) for _, t in odd_documents() if (t or "") == "" or len(t) < 3000)
-    short = {}
-    whole = sorted(str(list(r["ids"])) for r in rows if r["piece"] == 0 and r["length"] < 2048)
-    assert [w for w in want if w not in whole] == []
-    assert short == {} and packing.pack(odd.limit(0), path).count() == 0
+    want = []
+    for doc, t in odd_documents():
+        ids = [*plain.encode(t or "", add_special_tokens=False).ids, 0]
+        want += [(doc, i // 2048, i, len(ids[i : i + 2048]), ids[i : i + 2048]) for i in range(0, len(ids), 2048)]
+    assert max(w[1] for w in want) > 2
+    assert sorted(map(str, want)) == sorted(str((r["doc_id"], r["piece"], r["start"], r["length"], list(r["ids"]))) for r in rows)
+    assert packing.pack(odd.limit(0), path).count() == 0
+    # Many shards, made by many pieces or by few long texts.
+    for frame in (odd, odd.filter("doc_id = 8")):
+        packing_rows = packing.SHARD_PIECES
+        try:
+            packing.SHARD_PIECES = 5
+            some = packing.pack(frame, path, capacity=64).collect()
+        finally:
+            packing.SHARD_PIECES = packing_rows
+        held = {}
+        for r in some:
+            held.setdefault(r["sequence_id"], []).append((r["offset"], r["length"]))
+        assert all(sum(n for _, n in h) <= 64 and sorted(h)[0][0] == 0 for h in held.values())
+
+
+def test_packing_places_ties_by_id(spark):
+    rows = [(i, "same words") for i in (9, 3, 7, 5)] + [(None, "same words")]
+    out = packing.pack(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1), registry.tokenizer_path("word_bpe_49k.json")).collect()
+    assert [r["doc_id"] for r in sorted(out, key=lambda r: (r["sequence_id"], r["offset"]))] == [None, 3, 5, 7, 9]
+
+
+def fewest_bins(lengths, room):
+    """By exhaustive search."""
+    lengths = sorted(lengths, reverse=True)
+    best = [len(lengths)]
+
+    def go(i, bins):
+        if len(bins) >= best[0]:
+            return
+        if i == len(lengths):
+            best[0] = len(bins)
+            return
+        for held in {*bins, 0}:
+            if held + lengths[i] <= room:
+                rest = list(bins)
+                if held:
+                    rest.remove(held)
+                go(i + 1, [*rest, held + lengths[i]])
+
+    go(0, [])
+    return best[0]
+
+
+def test_plan_bins_against_the_optimum():
+    rng = np.random.default_rng(6)
+    over = 0
+    for _ in range(60):
+        lengths = rng.integers(5, 61, 9).tolist()
+        mine = len(packing.plan_bins(np.bincount(lengths, minlength=101), 100))
+        least = fewest_bins(lengths, 100)
+        assert least <= mine <= least + 1
+        over += mine - least
+    assert over <= 12
 
 
 def test_plan_bins_holds_every_piece():
@@ -403,6 +570,106 @@ def test_media_round_trip_and_general_decoder():
     assert media.payload_of(media.decode(media.encode(long))) == long
 
 
+def foreign_progressive(blocks, restart=0):
+    """A grey progressive JPEG written bit by bit from coefficients (zigzag order), with
+    tables of many symbols: DC and its refinement, AC in two bands, and AC refinement."""
+    n = len(blocks)
+    side = int(n**0.5)
+    out = [b"\xff\xd8\xff\xdb\x00\x43\x00" + bytes(range(1, 65)), b"\xff\xc2\x00\x0b\x08" + (8 * side).to_bytes(2, "big") * 2 + b"\x01\x01\x11\x00"]
+
+    def coded(kind, ops, head):
+        # ops: (symbol or None, extra bits); codes of one length, as many as there are symbols.
+        symbols = sorted({s for s, _ in ops if s is not None})
+        width = max(1, (len(symbols)).bit_length())
+        code = {s: format(i, f"0{width}b") for i, s in enumerate(symbols)}
+        counts = [0] * 16
+        counts[width - 1] = len(symbols)
+        if symbols:
+            body = bytes([kind << 4, *counts, *symbols])
+            out.append(b"\xff\xc4" + (len(body) + 2).to_bytes(2, "big") + body)
+        bits = "".join((code[s] if s is not None else "") + extra for s, extra in ops)
+        bits += "1" * (-len(bits) % 8)
+        data = bytes(int(bits[i : i + 8], 2) for i in range(0, len(bits), 8)).replace(b"\xff", b"\xff\x00")
+        out.append(b"\xff\xda\x00\x08\x01\x01\x00" + bytes(head) + data)
+
+    def amplitude(v):
+        size = abs(v).bit_length()
+        return size, format(v if v > 0 else v + (1 << size) - 1, f"0{size}b") if size else ""
+
+    ops, last = [], 0
+    for b in blocks:
+        size, bits = amplitude((int(b[0]) >> 1) - last)
+        last = int(b[0]) >> 1
+        ops.append((size, bits))
+    coded(0, ops, [0, 0, 0x01])
+    coded(0, [(None, str(int(b[0]) & 1)) for b in blocks], [0, 0, 0x10])
+    shift = lambda v: int(v) // 2 if v >= 0 else -(-int(v) // 2)
+    for low, high in ((1, 5), (6, 63)):
+        ops, ended = [], 0
+
+        def end_of_blocks():
+            nonlocal ended
+            if ended:
+                r = ended.bit_length() - 1
+                ops.append((r << 4, format(ended - (1 << r), f"0{r}b") if r else ""))
+                ended = 0
+
+        for b in blocks:
+            band, run = [shift(v) for v in b[low : high + 1]], 0
+            while band and not band[-1]:
+                band.pop()
+            if band:
+                end_of_blocks()
+            for v in band:
+                if not v:
+                    run += 1
+                    continue
+                while run > 15:
+                    ops.append((0xF0, ""))
+                    run -= 16
+                size, bits = amplitude(v)
+                ops.append((run << 4 | size, bits))
+                run = 0
+            if len(band) < high + 1 - low:
+                ended += 1
+        end_of_blocks()
+        coded(1, ops, [low, high, 0x01])
+    ops = []
+    for b in blocks:
+        new = [k for k in range(1, 64) if abs(int(b[k])) == 1]
+        run, kept = 0, ""
+        for k in range(1, 64):
+            v = int(b[k])
+            if abs(v) > 1:
+                kept += str(abs(v) & 1)
+            elif v:
+                ops.append((run << 4 | 1, ("1" if v > 0 else "0") + kept))
+                run, kept = 0, ""
+            elif new and k < new[-1]:
+                run += 1
+                if run == 16:
+                    # Fifteen zeros and one more; what is refined up to here goes along.
+                    ops.append((0xF0, kept))
+                    run, kept = 0, ""
+        if not new or new[-1] < 63:
+            ops.append((0x00, kept))
+    coded(1, ops, [1, 63, 0x10])
+    return b"".join(out) + b"\xff\xd9"
+
+
+def test_media_decodes_foreign_scans():
+    rng = np.random.default_rng(3)
+    for density in (0.02, 0.2, 0.7):
+        blocks = np.where(rng.random((49, 64)) < density, rng.integers(-300, 301, (49, 64)), 0)
+        blocks[rng.random((49, 64)) < density / 2] = 1
+        blocks[rng.random((49, 64)) < density / 3] = -1
+        blocks[::5, 1:] = 0
+        blocks[:, 0] = rng.integers(-500, 501, 49)
+        frame = media.decode(foreign_progressive(blocks))
+        assert (frame.blocks[0] == blocks).all()
+        assert media.rgb(frame).shape == (56, 56, 3)
+
+
 def test_media_inverse_transform():
     frame = media.Frame(8, 8, factors=[(1, 1)], grids=[(1, 1)], real=[(1, 1)], quant=[np.ones(64, np.int32)], blocks=[np.zeros((1, 64), np.int16)])
     frame.blocks[0][0, :3] = (80, 40, -24)
@@ -413,14 +680,23 @@ def test_media_inverse_transform():
 
 
 def test_media_odd_rows(odd):
-    rows = media.media_digests(odd).collect()
-    texts = odd_documents()
-    assert len(rows) == len(texts)
-    by_size = {r["payload_sha256"] for r in rows}
-    assert by_size == {hashlib.sha256(media.pad((t or "").encode())).hexdigest() for _, t in texts}
-    full = media.media_column(odd.filter("doc_id < 8")).collect()
-    assert all(len(r["rgb"]) == 3 * r["height"] * r["width"] for r in full)
-    assert media.media_digests(odd.limit(0)).count() == 0
+    stored = media.store(odd)
+    want = []
+    files = {r["doc_id"]: r["media"] for r in stored.collect()}
+    for doc, t in odd_documents():
+        payload = media.pad((t or "").encode())
+        file = media.encode(payload)
+        image = media.rgb(media.decode(file, quick=False)) if len(payload) < 20_000 else media.rgb(media.decode(file))
+        means = ",".join(f"{image[:, :, i].mean():.3f}" for i in range(3))
+        feature = f"{image.shape[0]}x{image.shape[1]}x3 mean {means} crc {zlib.crc32(image.tobytes()):08x}"
+        want.append((doc, len((t or "").encode()), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-32:]), len(file), hashlib.sha256(file).hexdigest(), feature))
+        if doc == 4:
+            assert bytes(files[4]) == file
+    names = ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"]
+    assert sorted(str(tuple(r[n] for n in names)) for r in media.media_digests(stored).collect()) == sorted(map(str, want))
+    some = media.tensors(stored.filter("doc_id < 8")).collect()
+    assert len(some) == 8 and all(bytes(r["rgb"]) == media.rgb(media.decode(bytes(files[r["doc_id"]]))).tobytes() and len(r["rgb"]) == 3 * r["height"] * r["width"] for r in some)
+    assert media.media_digests(media.store(odd.limit(0))).count() == 0
 
 
 # pipeline -------------------------------------------------------------------------------
@@ -474,6 +750,37 @@ def test_pipeline_stages_take_odd_rows(spark, odd):
     import corpus_pipeline as p
 
     some = odd.select("doc_id", "text", "lang", "source", "n_chars")
-    for _, stage in p.STAGES:
-        assert stage(spark, some, SMALL).count() >= 0
+    rows = sorted(map(str, (tuple(r) for r in some.collect())))
+    for name, stage in p.STAGES:
+        got = stage(spark, some, SMALL).collect()
+        said = sorted(str(tuple(r)) for r in got)
+        if name in ("quality_classifier", "toxicity"):
+            # What the operator itself marks, by the labels of the folder.
+            module, mark = (quality, "quality") if name[0] == "q" else (toxicity, "toxic")
+            marked = module.classify(some, spark.read.parquet(f"{SMALL}/labels.parquet"), mark).select("doc_id", "predicted").distinct().collect()
+            texts = {(r["doc_id"], r["predicted"]) for r in marked}
+            wanted = 1 if mark == "quality" else 0
+            assert {r["doc_id"] for r in got} == {d for d, k in texts if k == wanted} and all(s in rows for s in said)
+        elif name == "suffix_array_dedup":
+            assert len(got) == len(rows)
+            want = brute_kept(odd_documents(), 50)
+            assert sorted(str((r["doc_id"], r["text"])) for r in got) == sorted(map(str, want)) and all(r["n_chars"] == len(r["text"]) for r in got)
+        elif name == "best_fit_packing":
+            assert sum(r["piece"] == 0 for r in got) == len(rows)
         assert stage(spark, some.limit(0), SMALL).count() == 0
+
+
+def brute_kept(rows, span):
+    """(doc_id, text without what a smaller document holds, nor parts of a character)."""
+    seen, out = {}, []
+    for doc, text in rows:
+        b = (text or "").encode()
+        for p in range(len(b) - span + 1 if doc is not None else 0):
+            seen[b[p : p + span]] = min(seen.get(b[p : p + span], doc), doc)
+    for doc, text in rows:
+        b, gone = (text or "").encode(), set()
+        for p in range(len(b) - span + 1 if doc is not None else 0):
+            if seen[b[p : p + span]] < doc:
+                gone.update(range(p, p + span))
+        out.append((doc, bytes(c for i, c in enumerate(b) if i not in gone).decode("utf-8", "ignore")))
+    return out
