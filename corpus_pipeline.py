@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexiforge.llm import jaccard_join, packing, quality, suffix_dedup, toxicity
-from lexiforge.llm.common import Scratch, read
+from lexiforge.llm.common import Scratch, read, text_batches
 from lexiforge.llm.registry import tokenizer_path
 
 QUALITY, TOXIC = 0.3, 0.5
@@ -21,14 +21,15 @@ QUALITY, TOXIC = 0.3, 0.5
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose quality score reaches the threshold stay."""
-    stats = Scratch(spark, "quality-stats").cut(quality.statistics(docs))
-    model = quality.fit(stats, read(spark, sf_dir, "labels"), "quality")
+    scratch = Scratch(spark, "quality-stats")
+    model = quality.fit(scratch.cut(quality.statistics(docs)), read(spark, sf_dir, "labels"), "quality")
+    scratch.finish()
     return docs.filter(quality.scores(model) >= QUALITY)
 
 
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose toxicity score stays below the threshold stay."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "512")
+    text_batches(spark)
     model = toxicity.fit(docs.select("doc_id", "text"), read(spark, sf_dir, "labels"), "toxic")
     return docs.filter(toxicity.scores(model) < TOXIC)
 
@@ -94,4 +95,6 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         docs = stage(spark, docs, sf_dir)
         if i < len(STAGES) - 1:
             docs = scratch.cut(docs)
+            # What the stage wrote on its way, and its input, are read by nothing any more.
+            Scratch.sweep(docs)
     return docs
