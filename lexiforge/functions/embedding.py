@@ -47,6 +47,35 @@ class HashEmbedder:
         return out
 
 
+class PageEmbedder(Protocol):
+    """Vectors of pages and of queries to them."""
+
+    dims: int
+
+    def page(self, content: str) -> tuple[np.ndarray, np.ndarray]:
+        """(patches on a grid: x, y, dims; vectors of tokens that are no patch)."""
+
+    def query(self, text: str) -> list[list[float]]:
+        """One vector for each token of a query."""
+
+
+class HashPageEmbedder:
+    """A page's words laid out on a grid of patches, each the hashed words it holds; one
+    more vector for the whole page.  Stands in for a vision model."""
+
+    def __init__(self, dims: int = 128, grid: int = 4):
+        self.dims, self.grid, self.words = dims, grid, HashEmbedder(dims)
+
+    def page(self, content: str) -> tuple[np.ndarray, np.ndarray]:
+        found = self.words.token.findall(content)
+        cells = self.grid * self.grid
+        parts = [" ".join(found[len(found) * i // cells : len(found) * (i + 1) // cells]) for i in range(cells)]
+        return self.words(parts).reshape(self.grid, self.grid, self.dims), self.words([" ".join(found)])
+
+    def query(self, text: str) -> list[list[float]]:
+        return self.words(list(dict.fromkeys(self.words.token.findall(text.lower())))).tolist()
+
+
 def embed_column(text: Column, embedder: Embedder) -> Column:
     """Vectors of a text column, in Arrow batches."""
 

@@ -5,6 +5,7 @@ Content that cannot be read gives empty text (an empty list for JSON).
 
 from __future__ import annotations
 
+import html as stdlib_html
 import io
 import json
 import re
@@ -16,22 +17,22 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StringType
 
-from ..functions.text import decode_text
+from ..functions.text import decode_text, natural_name
 
-#: Named entities that pages use; the ampersand comes last.
-ENTITIES = [("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&apos;", "'"), ("&nbsp;", " "), ("&copy;", "©"), ("&middot;", "·"), ("&amp;", "&")]
 #: What is dropped from pages, in this order.
 HTML_DROPS = [r"(?is)<script\b[^>]*>.*?</script\s*>", r"(?is)<style\b[^>]*>.*?</style\s*>", r"(?is)<template\b[^>]*>.*?</template\s*>", r"(?s)<!--.*?-->", r"(?s)<[^>]*>"]
-#: Core Markdown as (pattern, replacement); other constructs stay as written.
+#: Core Markdown as (pattern, replacement), applied in this order: link definitions and
+#: rulers below a heading, marks at the beginning of a line, then spans within a line.
 MARKDOWN_RULES = [
-    (r"(^|\n)#{1,6} +([^\n]*)", r"$1$2"),
-    (r"(^|\n)> ?([^\n]*)", r"$1$2"),
-    (r"(^|\n)[*+-] +([^\n]*)", r"$1$2"),
-    (r"(^|\n)[0-9]+\. +([^\n]*)", r"$1$2"),
-    (r"!?\[([^\]\n]*)\]\([^)\n]*\)", r"$1"),
-    (r"\*\*([^*\n]+)\*\*", r"$1"),
-    (r"\*([^*\n]+)\*", r"$1"),
-    (r"`([^`\n]+)`", r"$1"),
+    (r"(?m)^ {0,3}\[[^\]\n]+\]: *\S+[^\n]*\n?", ""),
+    (r"(?m)^([^\s>#*+-][^\n]*)\n(?:=+|-+) *$", "$1"),
+    (r"(?m)^(?:#{1,6} +|> ?|[*+-] +|[0-9]+\. +)", ""),
+    (r"!?\[([^\]\n]*)\](?:\([^)\n]*\)|\[[^\]\n]*\])", "$1"),
+    (r"\*\*([^*\n]+)\*\*", "$1"),
+    (r"\*([^*\n]+)\*", "$1"),
+    (r"(?<![A-Za-z0-9_])__([^_\n]+)__(?![A-Za-z0-9_])", "$1"),
+    (r"(?<![A-Za-z0-9_])_([^_\n]+)_(?![A-Za-z0-9_])", "$1"),
+    (r"`([^`\n]+)`", "$1"),
 ]
 
 
@@ -42,13 +43,18 @@ def txt_text(content: Column) -> Column:
 log_text = txt_text
 
 
+@F.pandas_udf(StringType())
+def _unescaped(texts: pd.Series) -> pd.Series:
+    """Named and numeric entities by the HTML standard's table (nulls stay)."""
+    return texts.map(stdlib_html.unescape, na_action="ignore")
+
+
 def html_text(html: Column) -> Column:
-    """Text between tags, white space kept; scripts, styles and comments dropped."""
+    """Text between tags, white space kept; scripts, styles and comments dropped, entities
+    read.  Only texts with an ampersand leave the JVM."""
     for pattern in HTML_DROPS:
         html = F.regexp_replace(html, pattern, "")
-    for name, char in ENTITIES:
-        html = F.replace(html, F.lit(name), F.lit(char))
-    return html
+    return F.coalesce(_unescaped(F.when(F.contains(html, F.lit("&")), html)), html)
 
 
 def markdown_text(markdown: Column) -> Column:
@@ -96,12 +102,13 @@ def csv_text(content: Column, columns: int) -> Column:
 
 @F.pandas_udf(StringType())
 def csv_text_any(contents: pd.Series) -> pd.Series:
-    """As :func:`csv_text` for any number of columns and quoted line ends."""
+    """Values of all rows but the header, joined by spaces, as pandas reads them: a file of
+    numbers alone reads as whole numbers or as fractions throughout."""
 
     def one(content):
         try:
-            frame = pd.read_csv(io.StringIO(bytes(content).decode("utf-8", "replace")), dtype=str)
-            return " ".join(" ".join("nan" if v != v else v for v in row) for row in frame.itertuples(index=False))
+            values = pd.read_csv(io.StringIO(bytes(content).decode("utf-8", "replace"))).to_numpy()
+            return " ".join(str(v) for row in values.tolist() for v in row)
         except Exception:
             return ""
 
@@ -113,40 +120,32 @@ IDENTIFIERS = ("name", "title", "id", "type", "category", "year", "releaseYear")
 LONG = 20
 
 
-def _human(key: str) -> str:
-    key = re.sub("(.)([A-Z][a-z]+)", r"\1 \2", key)
-    key = re.sub("([a-z0-9])([A-Z])", r"\1 \2", key)
-    return key.replace("_", " ").capitalize()
+def _objects(root):
+    """(object, identifiers it stands under), parents first, in the document's order."""
+    todo = [(root, {})]
+    while todo:
+        node, above = todo.pop()
+        inner = node
+        if isinstance(node, dict):
+            above = above | {k: node[k] for k in IDENTIFIERS if isinstance(node.get(k), str | int | float)}
+            yield node, above
+            inner = list(node.values())
+        todo += [(x, above) for x in reversed(inner) if isinstance(x, dict | list)]
 
 
 def flatten_json(text: str) -> list[str]:
     """Long strings of a JSON document, each with the identifiers it stands under."""
-    out: list[str] = []
-
-    def clean(value: str) -> str:
-        return value.encode("utf-8", "ignore").decode("utf-8")
-
-    def visit(node, context: dict):
-        if isinstance(node, list):
-            for item in node:
-                visit(item, context)
-        elif isinstance(node, dict):
-            context = context | {k: node[k] for k in IDENTIFIERS if isinstance(node.get(k), (str, int, float))}
-            head = ", ".join(f"{_human(k)}: {v}" for k, v in context.items())
-            for key, value in node.items():
-                if isinstance(value, str) and len(value) > LONG:
-                    line = clean(f"{head}. {_human(key)}: {value}" if head else f"{_human(key)}: {value}")
-                    if line.strip():
-                        out.append(line)
-            for value in node.values():
-                if isinstance(value, (dict, list)):
-                    visit(value, context)
-
     try:
-        visit(json.loads(text), {})
-    except Exception:
+        root = json.loads(text)
+        found = list(_objects(root)) if isinstance(root, dict | list) else []
+    except (ValueError, RecursionError):
         return []
-    return out
+    lines = []
+    for node, above in found:
+        head = ", ".join(f"{natural_name(k)}: {v}" for k, v in above.items())
+        lines += [f"{head}. "[: len(head) and len(head) + 2] + f"{natural_name(k)}: {v}" for k, v in node.items() if isinstance(v, str) and len(v) > LONG]
+    # Halves of surrogate pairs have no UTF-8 form.
+    return [x for x in (line.encode("utf-8", "ignore").decode() for line in lines) if x.strip()]
 
 
 @F.pandas_udf(ArrayType(StringType()))
@@ -169,9 +168,7 @@ def docx_content(content: bytes) -> str:
 def strip_html(html: str) -> str:
     for pattern in HTML_DROPS:
         html = re.sub(pattern, "", html)
-    for name, char in ENTITIES:
-        html = html.replace(name, char)
-    return html
+    return stdlib_html.unescape(html)
 
 
 def epub_content(content: bytes) -> str:
