@@ -15,10 +15,17 @@ def stream_files(spark: SparkSession, path: str) -> DataFrame:
     return spark.readStream.format("binaryFile").schema(schema).load(path).select(basename(F.col("path")).alias("name"), "content")
 
 
-def ingest_stream(store: Store, files: DataFrame, client: str, bot_id: str, collection: str, checkpoint: str):
-    """A query that ingests every micro-batch; its checkpoint lets it go on after a failure."""
+def ingest_batch(store: Store, checkpoint: str, client: str, bot_id: str, collection: str, images: str = ""):
+    """What a micro-batch does.  Its key is the stream's checkpoint and its number: a batch
+    that is replayed after a failure stores nothing twice."""
+
+    def add(batch: DataFrame, number: int):
+        store.ingest(client, bot_id, batch, collection, images, batch=f"{checkpoint}#{number}")
 
-    def add(batch: DataFrame, _: int):
-        store.ingest(client, bot_id, batch, collection).collect()
+    return add
 
+
+def ingest_stream(store: Store, files: DataFrame, client: str, bot_id: str, collection: str, checkpoint: str, images: str = ""):
+    """A query that ingests every micro-batch; its checkpoint lets it go on after a failure."""
+    add = ingest_batch(store, checkpoint, client, bot_id, collection, images)
     return files.writeStream.foreachBatch(add).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
