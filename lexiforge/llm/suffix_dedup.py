@@ -1,51 +1,58 @@
 """Suffix-array dedup by distributed prefix doubling.
 
-A byte goes when a ``span``-byte string that covers it also starts in a document
-with a smaller doc_id.  Positions are ranked by growing prefixes: the rank of
-``2h`` bytes at p is made from the pair (rank of h at p, rank of h at p + h).  A
-rank is a 64-bit fingerprint instead of a running number, so that executors
-agree on it without a global renumbering; Spark groups and sorts the (rank,
-document) pairs of each round, and only positions whose rank is not unique go on
-to the next offset.
-
-* Rounds 1, 2, 4, 8, 16 need no exchange: the pairs are local to a text.
-* The 16-byte round is exchanged for *one* position of each ``span``-byte window,
-  the one with the least rank (equal windows pick the same), with the rank of the
-  whole run of bytes whose windows picked it.  A position whose 16-byte rank is
-  unique leaves.  A run that equals a run of a smaller document goes whole.
-* Runs that share a 16-byte rank but differ as runs are reranked at 32 bytes (those
-  before and after the shared 16); positions unique at 32 bytes leave.
-* The rest is reranked at ``span`` (pair of the 32-byte ranks at p and p + span - 32)
-  and exchanged once more; the smallest document of each rank decides.
-
-Documents are dealt into parts of about ``PART_BYTES`` by hash.  A part sends each
-rank once with its smallest document, so a passage held by a third of all rows is
-one entry of each part, never a group of its own.  The three uses of the text read
-one exchange.
-
-Defined cases.  Null text: empty.  Null doc_id: returned whole, and takes nothing
-from others.  Rows that repeat a doc_id: equal ids take nothing from each other.
-Texts under ``span`` bytes stay whole.  An empty table gives an empty result.
-Extra columns are ignored.  Collisions of 64-bit ranks are neglected.
+A byte goes when a ``span``-byte string that covers it also starts in a document with a
+smaller doc_id.  Positions are ranked by growing prefixes: the rank of 2h bytes at p comes
+from the pair (rank of h at p, rank of h at p + h).  Ranks agree on all executors because
+they are fingerprints of those pairs; Spark sorts the (rank, rank at the next offset) pairs
+of the positions that are still shared, and unique ones leave.
+
+* Offsets 1, 2, 4 and so on up to the largest power of two within ``span`` need no
+  exchange: they stay inside a text.
+* At ``anchor`` bytes (32 for a span of 50) each window of ``span`` bytes is represented by
+  one of its positions, that of the least rank, which equal windows share.  Positions whose
+  rank only one part of the table holds, in one document, leave: four bytes a position.
+* For the rest, Spark sorts pairs of ranks at the two ends of the *run* of windows that
+  share the position (a pair at the offset run length - 32).  A run that also starts in a
+  smaller document goes whole.  A run that is the smallest document's leaves too, unless
+  its position has several runs.
+* The windows of those last runs are reranked one by one: Spark sorts the pairs of ranks at
+  p and p + span - 32, and the smallest document of each pair decides.
+
+Documents are dealt into parts of about ``PART_BYTES`` by hash.  A part sends each rank or
+pair once with its smallest document, so a passage held by a third of all rows is one entry
+of each part.  A position held by more than ``HOT`` parts (the end of such a passage, with
+another run in each document) is not sorted as one group: its runs are spread by their own
+rank, and all count as several.  What a part has decided travels with its pairs, so the
+rounds follow each other without meeting earlier ones again.
+
+Equality is that of 128 bits: two 64-bit ranks for windows and for runs of hot positions;
+for other runs 64 bits among the few runs that share one 64-bit position.
+
+Defined cases.  Null text: empty.  Null doc_id: returned whole, and takes nothing from
+others.  Rows that repeat a doc_id: equal ids take nothing from each other.  Texts under
+``span`` bytes stay whole; very long ones are ranked in overlapping pieces of bounded size.
+Ties of ranks are broken by place within the window, so equal windows choose alike.  An
+empty table gives an empty result.  Extra columns are ignored.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import _BYTE, as_bytes, deal, dealt_runs, give_back, mix, passes, table_ceil, total_bytes
 
 PART_BYTES = 4 << 20
-#: Bytes of text ranked in one numpy pass.
+#: Bytes of text ranked in one numpy pass; longer texts are cut into overlapping pieces.
 PASS = 1 << 19
 BUCKET_BYTES = 8 << 20
-ANCHOR = 16
-#: Bits of a run's rank that are sent; it is compared under one 16-byte rank only.
-_RUN_BITS = np.uint64((1 << 48) - 1)
-#: Low bits of a key that hold the position within a pass; longer texts are refused.
+#: Text whose pairs one sorting task takes, about.
+SORT_BYTES = 16 << 20
+#: Positions held by more parts than this are spread by their runs.
+HOT = 100
+#: Low bits of a key that hold the position within a pass (at most 2 * PASS bytes).
 PLACE_BITS = 28
 _K = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5], np.uint64)
 
@@ -56,223 +63,171 @@ def _pair(rank: np.ndarray, h: int, k: int) -> np.ndarray:
         return rank[:-h] * (_K[k % 4] | np.uint64(2 * k + 1)) + (rank[h:] ^ (rank[h:] >> np.uint64(29)))
 
 
+def _spread(*columns: np.ndarray) -> np.ndarray:
+    """One 64-bit rank of several."""
+    with np.errstate(over="ignore"):
+        out = columns[0] * _K[0]
+        for i, c in enumerate(columns[1:], 1):
+            out = mix(out) + c.astype(np.uint64) * (_K[i % 4] | np.uint64(1))
+    return mix(out)
+
+
+def _within(begin: np.ndarray, many: np.ndarray) -> np.ndarray:
+    """begin, begin + 1 .. for each of ``many`` places."""
+    return np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many) + np.repeat(begin, many)
+
+
 class _Pass:
-    """Anchors, runs and ranks of some texts of one part."""
-
-    def __init__(self, texts: list[bytes], first: int, usable: np.ndarray, span: int):
-        self.span, self.first = span, first
-        self.ends = np.cumsum([len(t) for t in texts])
-        self.starts = self.ends - [len(t) for t in texts]
-        data = np.frombuffer(b"".join(texts), np.uint8)
-        none = np.zeros(0, np.int64)
-        self.anchor = self.begin = self.stop = self.doc = none
+    """Positions, runs and ranks of some pieces of texts."""
+
+    def __init__(self, pieces: list[bytes], docs: np.ndarray, span: int):
+        self.span, self.whole = span, 1 << (span.bit_length() - 1)
+        anchor = self.whole if 2 * span >= 3 * self.whole else self.whole // 2
+        length = np.array([len(p) for p in pieces], np.int64)
+        self.ends = np.cumsum(length)
+        data = np.frombuffer(b"".join(pieces), np.uint8)
         self.size = len(data)
-        self.rank32 = None
-        if len(data) < span:
+        self.name = self.first = self.last = np.zeros(0, np.uint64)
+        self.begin = self.stop = self.doc = np.zeros(0, np.int64)
+        good = np.flatnonzero(length >= span)
+        if not len(good):
             return
-        rank = _BYTE[data]
-        for k in range(4):
-            rank = _pair(rank, 1 << k, k)
-        order = mix(rank.copy())
-        key = order >> np.uint64(PLACE_BITS) << np.uint64(PLACE_BITS) | np.arange(len(order), dtype=np.uint64)
-        width, low = span - ANCHOR + 1, key
-        h = 1
+        rank, h, k = _BYTE[data], 1, 0
+        while h < self.whole:
+            if h == anchor:
+                order = mix(rank.copy())
+            rank, h, k = _pair(rank, h, k), 2 * h, k + 1
+        self.rank = rank
+        if anchor == self.whole:
+            order = mix(rank.copy())
+        low = order >> np.uint64(PLACE_BITS) << np.uint64(PLACE_BITS) | np.arange(len(order), dtype=np.uint64)
+        width, h = span - anchor + 1, 1
         while 2 * h <= width:
             low = np.minimum(low[:-h], low[h:])
             h *= 2
         if h < width:
             low = np.minimum(low[: len(low) - (width - h)], low[width - h :])
-        place = (low & np.uint64((1 << PLACE_BITS) - 1)).astype(np.int64)
-        # Windows that lie in one text.
-        length = self.ends - self.starts
-        good = np.flatnonzero((length >= span) & usable)
-        if not len(good):
-            return
-        many = length[good] - span + 1
-        window = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many) + np.repeat(self.starts[good], many)
-        owner = np.repeat(good, many)
-        at = place[window]
-        new = np.ones(len(window), bool)
-        new[1:] = (at[1:] != at[:-1]) | (owner[1:] != owner[:-1])
-        cut = np.flatnonzero(new)
-        last = np.append(cut[1:], len(window)) - 1
-        self.anchor, self.begin, self.stop = at[cut], window[cut], window[last]
-        self.doc = owner[cut] + first
-        self.name = (order[self.anchor] >> np.uint64(24)).astype(np.uint64)  # 40 bits
-        rank32 = _pair(rank, 16, 4)
-        # The 32 bytes that begin with the anchor, and those that end with it, in 16 bits each.
-        top = len(rank32) - 1
-        ahead, behind = np.minimum(self.anchor, top), np.clip(self.anchor - ANCHOR, 0, top)
-        self.near = np.stack([mix(rank32[at]) >> np.uint64(48) for at in (ahead, behind)], 1).astype(np.uint16)
-        # A run's rank: sum over its windows' 32-byte ranks at both ends and between, by place.
-        self.rank32 = rank32
-        total = np.concatenate((np.zeros(1, np.uint64), np.cumsum(self._window_rank(0, len(data) - span + 1), dtype=np.uint64)))
-        with np.errstate(over="ignore"):
-            run = total[self.stop + 1] - total[self.begin]
-            run += (self.anchor - self.begin).astype(np.uint64) * _K[1] + (self.stop - self.begin).astype(np.uint64) * _K[2]
-            run ^= self._window_rank_at(self.begin) * _K[3]
-        self.run = mix(run)
-
-    def _window_rank(self, a: int, b: int) -> np.ndarray:
-        r, gap = self.rank32, self.span - 32
-        with np.errstate(over="ignore"):
-            return mix(r[a:b] * _K[0] + r[a + gap : b + gap] * _K[1])
-
-    def _window_rank_at(self, at: np.ndarray) -> np.ndarray:
-        r, gap = self.rank32, self.span - 32
-        with np.errstate(over="ignore"):
-            return mix(r[at] * _K[0] + r[at + gap] * _K[1])
-
-    def windows(self, marks: np.ndarray):
-        """(window start, document) of the windows to rerank: bit 1 of a run's mark covers
-        windows that hold the 32 bytes from its anchor on, bit 2 those up to its end."""
-        which = marks > 0
-        begin, many = self.begin[which], (self.stop - self.begin)[which] + 1
-        if not len(begin):
-            return np.zeros(0, np.int64), np.zeros(0, np.int64)
-        at = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many) + np.repeat(begin, many)
-        before = np.repeat(self.anchor[which], many) - at
-        mark, doc = np.repeat(marks[which], many), np.repeat(self.doc[which], many)
-        keep = ((before > self.span - 32) | (mark & 1 > 0)) & ((before < ANCHOR) | (mark & 2 > 0))
-        return at[keep], doc[keep]
+        # Runs: windows of one position, cut where a piece's windows begin and end.
+        edges = np.concatenate((np.flatnonzero(low[1:] != low[:-1]) + 1, self.ends - length, np.maximum(self.ends - span + 1, 0)))
+        edges = np.unique(edges)
+        begin, stop = edges, np.append(edges[1:], len(low)) - 1
+        owner = np.searchsorted(self.ends, begin, side="right")
+        fits = (owner < len(length)) & (stop >= begin)
+        fits[fits] = stop[fits] + span <= self.ends[owner[fits]]
+        self.begin, self.stop, owner = begin[fits], stop[fits], owner[fits]
+        position = (low[self.begin] & np.uint64((1 << PLACE_BITS) - 1)).astype(np.int64)
+        self.doc, self.name = docs[owner], order[position]
+        # Ranks at both ends of a run, with where its position and its end lie.
+        self.first = _spread(rank[self.begin], position - self.begin)
+        self.last = _spread(rank[self.stop + span - self.whole], self.stop - self.begin)
+
+    def pairs(self, at: np.ndarray):
+        """The ranks at p and p + span - whole, which tell windows apart."""
+        return mix(self.rank[at]), mix(self.rank[at + self.span - self.whole] ^ _K[2])
+
+
+def _distinct(doc: np.ndarray, *ranks: np.ndarray):
+    """(number of each row's distinct ranks, first row of each in the order of ``doc``)."""
+    order = np.lexsort((doc, *ranks))
+    new = np.ones(len(order), bool)
+    new[1:] = False
+    for r in ranks:
+        new[1:] |= r[order][1:] != r[order][:-1]
+    group = np.empty(len(order), np.int64)
+    group[order] = np.cumsum(new) - 1
+    return group, order[new]
 
 
 class _Part:
     """The documents of one part in the order of their ids."""
 
     def __init__(self, frame: pd.DataFrame, span: int):
+        give_back()
         texts = as_bytes(frame["text"])
         null = frame["doc_id"].isna().to_numpy()
         ids = frame["doc_id"].fillna(0).to_numpy(np.int64)
         order = sorted(range(len(ids)), key=lambda i: (null[i], ids[i], texts[i]))
         self.carried = frame["carried"].to_numpy()[order] if "carried" in frame else [None] * len(order)
         self.texts, self.ids, self.null = [texts[i] for i in order], ids[order], null[order]
-        self.span = span
-        self.passes = [_Pass(self.texts[a:b], a, ~self.null[a:b], span) for a, b in passes([len(t) for t in self.texts], PASS)]
-        gather = lambda f, kind: np.concatenate([np.zeros(0, kind), *[getattr(p, f) for p in self.passes if len(p.doc)]]).astype(kind)
-        self.name, self.run, self.doc = gather("name", np.uint64), gather("run", np.uint64) & _RUN_BITS, gather("doc", np.int64)
-        self.near = np.concatenate([np.zeros((0, 2), np.uint16), *[p.near for p in self.passes if len(p.doc)]])
-
-    def entries(self, ranks: np.ndarray, doc: np.ndarray, name: np.ndarray | None = None):
-        """Distinct (name, rank) with the smallest document; (order, group of each, first of each)."""
-        order = np.lexsort((doc, ranks) if name is None else (doc, ranks, name))
-        r = ranks[order]
-        new = np.ones(len(r), bool)
-        new[1:] = r[1:] != r[:-1]
-        if name is not None:
-            m = name[order]
-            new[1:] |= m[1:] != m[:-1]
-        group = np.empty(len(r), np.int64)
-        group[order] = np.cumsum(new) - 1
-        return group, order[new]
-
-
-def _narrow(values: np.ndarray, width: int) -> bytes:
-    """The low ``width`` bytes of each uint64."""
-    return np.ascontiguousarray(values.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width]).tobytes()
-
-
-def _wide(data: bytes, width: int) -> np.ndarray:
-    out = np.zeros((len(data) // width, 8), np.uint8)
-    out[:, :width] = np.frombuffer(data, np.uint8).reshape(-1, width)
-    return out.view("<u8").ravel()
-
-
-def _ship(part: int, kind: int, key: np.ndarray, rank: np.ndarray, near, ids: np.ndarray, buckets: int) -> pd.DataFrame:
-    """One row per bucket: keys, ranks and smallest ids (as steps) of a part's entries."""
-    order, bucket = deal(key, buckets, ids)
-    rows = []
-    for b, begin, end in dealt_runs(bucket):
-        take = order[begin:end]
-        steps = np.diff(ids[take], prepend=ids[take[0]])
-        steps = steps.astype(np.uint32 if steps.max() < 1 << 32 else np.int64)
-        names = _narrow(key[take] // np.uint64(buckets), 3) if kind == 0 else b""
-        rows.append((b, part, kind, names, _narrow(rank[take], 6 if kind == 0 else 8), near[take].tobytes() if kind == 0 else b"", int(ids[take[0]]), steps.tobytes()))
-    return pd.DataFrame(rows, columns=_ROW_NAMES)
-
-
-_ROW = "bucket int, part long, kind int, names binary, ranks binary, near binary, low long, steps binary"
-_BACK = "part long, kind int, bucket int, places binary, least binary, marks binary"
-_BACK_NAMES = ["part", "kind", "bucket", "places", "least", "marks"]
-
-
-def _settle(frame: pd.DataFrame) -> pd.DataFrame:
-    """Of one bucket: the smallest document of each rank, told to the parts that need it.
-
-    Runs under one 16-byte rank that differ as runs are marked for reranking where their
-    32 bytes from the anchor on (1), or up to its end (2), are shared.
-    """
-    if not len(frame):
-        return pd.DataFrame(columns=_BACK_NAMES)
-    give_back()
-    kind, bucket = int(frame["kind"].iloc[0]), int(frame["bucket"].iloc[0])
-    ranks = [_wide(x, 6 if kind == 0 else 8) for x in frame["ranks"]]
-    sizes = np.array([len(r) for r in ranks])
-    ids = np.concatenate([low + np.cumsum(np.frombuffer(x, np.uint32 if len(x) == 4 * n else np.int64), dtype=np.int64) for x, low, n in zip(frame["steps"], frame["low"], sizes)])
-    owner = np.repeat(np.arange(len(frame)), sizes)
-    places = (np.arange(len(ids)) - np.repeat(np.cumsum(sizes) - sizes, sizes)).astype(np.uint32)
-    rank = np.concatenate(ranks)
-    if kind == 0:
-        name = np.concatenate([_wide(x, 3) for x in frame["names"]])
-        near = np.concatenate([np.frombuffer(x, np.uint16).reshape(-1, 2) for x in frame["near"]])
-        order = np.lexsort((ids, rank, name))
-        name, near = name[order], near[order]
+        # (document, where the piece begins, the piece): windows of a document lie in one piece each.
+        self.pieces = [(k, at, t[at : at + PASS + span - 1]) for k, t in enumerate(self.texts) if not self.null[k] and len(t) >= span for at in range(0, len(t) - span + 1, PASS)]
+        self.passes, self.spans = [], []
+        for a, b in passes([len(p[2]) for p in self.pieces], PASS):
+            some = self.pieces[a:b]
+            self.passes.append(_Pass([p[2] for p in some], np.array([p[0] for p in some], np.int64), span))
+            self.spans.append((a, b))
+        gather = lambda f, kind: np.concatenate([np.zeros(0, kind), *[getattr(p, f) for p in self.passes]]).astype(kind)
+        self.name, self.first, self.last = gather("name", np.uint64), gather("first", np.uint64), gather("last", np.uint64)
+        self.doc = gather("doc", np.int64)
+        self.id = self.ids[self.doc]
+        #: The run's rank among the runs of its position.
+        self.run = _spread(self.first, self.last)
+
+    def names(self):
+        """(distinct positions, number of each run's position)."""
+        return np.unique(self.name, return_inverse=True)
+
+    def survivors(self, kept: np.ndarray, hot: np.ndarray):
+        """Runs that stay shared: their rows, (number of each, first row of each distinct run), keys."""
+        names, at = self.names()
+        at = at.ravel()
+        rows = np.flatnonzero(kept[at])
+        key = self.name[rows].copy()
+        spread = hot[at[rows]]
+        # Runs of hot positions are groups of their own.
+        key[spread] = _spread(key[spread], self.first[rows][spread])
+        group, first = _distinct(self.doc[rows], self.run[rows], key)
+        return rows, group, first, key, spread
+
+    def windows(self, marks: np.ndarray):
+        """(pass, place, document, both ranks) of the windows of the marked runs."""
+        found, done = [], 0
+        for i, p in enumerate(self.passes):
+            which = np.flatnonzero(marks[done : done + len(p.doc)])
+            done += len(p.doc)
+            if len(which):
+                many = p.stop[which] - p.begin[which] + 1
+                at = _within(p.begin[which], many)
+                found.append((np.full(len(at), i), at, np.repeat(p.doc[which], many), *p.pairs(at)))
+        kinds = (np.int64, np.int64, np.int64, np.uint64, np.uint64)
+        return [np.concatenate([np.zeros(0, k), *[f[j] for f in found]]).astype(k) for j, k in enumerate(kinds)]
+
+
+_PAIRS = "rank long, next long, low long, k int, several boolean, part long, state binary"
+_NAMES = [x.split()[0] for x in _PAIRS.split(", ")]
+
+
+def _pairs(part: int, rank, after, low, several, state: bytes) -> pd.DataFrame:
+    """A part's pairs, and a row of its own that carries what it has decided."""
+    n = len(rank)
+    mine = mix(np.array([part], np.uint64))
+    columns = (np.append(rank, mine).view(np.int64), np.append(after, mine).view(np.int64), np.append(low, 0), np.append(np.arange(n, dtype=np.int32), np.int32(-1)), np.append(several, False), part, [None] * n + [state])
+    return pd.DataFrame(dict(zip(_NAMES, columns)))
+
+
+def _sorted(pairs: DataFrame, tasks: int, runs: bool) -> DataFrame:
+    """Spark sorts the pairs: of each, the smallest document (``least``).  What needs no
+    answer leaves; with ``runs``, a smallest document's run stays if its rank has several."""
+    order = Window.partitionBy("rank", "next").orderBy("low")
+    out = pairs.repartition(tasks, "rank").withColumn("least", F.first("low").over(order))
+    if runs:
+        group = Window.partitionBy("rank")
+        out = out.withColumn("several", F.col("several") | (F.min("next").over(group) != F.max("next").over(group)))
+        out = out.filter("k < 0 OR least < low OR several")
     else:
-        order = np.lexsort((ids, rank))
-    rank, ids, places, owner = rank[order], ids[order], places[order], owner[order]
-    new = np.ones(len(rank), bool)
-    new[1:] = rank[1:] != rank[:-1]
-    if kind == 0:
-        new[1:] |= name[1:] != name[:-1]
-    first = np.flatnonzero(new)
-    run = np.cumsum(new) - 1
-    least = ids[first[run]]
-    marks = np.zeros(len(rank), np.uint8)
-    if kind == 0:
-        for side in (0, 1):
-            code = name[first] << np.uint64(16) | near[first, side].astype(np.uint64)
-            by = np.argsort(code, kind="stable")
-            same = np.zeros(len(by) + 1, bool)
-            same[1:-1] = code[by][1:] == code[by][:-1]
-            shared = np.zeros(len(first), bool)
-            shared[by[same[1:] | same[:-1]]] = True
-            # Rows that repeat the smallest id may lie in several parts: each reranks its own.
-            marks[shared[run] & (ids == least)] |= 1 << side
-    tell = np.flatnonzero((marks > 0) | (least < ids))
-    tell = tell[np.argsort(owner[tell], kind="stable")]
-    edge = np.searchsorted(owner[tell], np.arange(len(frame) + 1))
-    parts, rows = frame["part"].to_numpy(), []
-    for i in range(len(frame)):
-        t = tell[edge[i] : edge[i + 1]]
-        if len(t):
-            rows.append((int(parts[i]), kind, bucket, places[t].tobytes(), least[t].tobytes(), marks[t].tobytes()))
-    return pd.DataFrame(rows, columns=_BACK_NAMES)
-
-
-def _told(answers: pd.DataFrame, kind: int, key: np.ndarray, least: np.ndarray, buckets: int):
-    """``least`` per entry as corrected by the answers, and the marks."""
-    marks = np.zeros(len(least), np.uint8)
-    mine = answers[answers["kind"] == kind]
-    if len(mine):
-        order, dealt = deal(key, buckets, least)
-        edge = np.searchsorted(dealt, mine["bucket"].to_numpy())
-        least = least.copy()
-        for begin, places, low, mark in zip(edge, mine["places"], mine["least"], mine["marks"]):
-            at = order[begin + np.frombuffer(places, np.uint32)]
-            least[at] = np.frombuffer(low, np.int64)
-            marks[at] = np.frombuffer(mark, np.uint8)
-    return least, marks
-
-
-def _coarse(part: _Part, answers: pd.DataFrame, buckets: int):
-    """Per run: whether it goes whole, and the marks of its windows to rerank."""
-    if not len(part.doc):
-        return np.zeros(0, bool), np.zeros(0, np.uint8)
-    group, first = part.entries(part.run, part.doc, part.name)
-    least, marks = _told(answers, 0, part.name[first], part.ids[part.doc[first]], buckets)
-    whole = part.ids[part.doc] > least[group]
-    # Copies of a run in larger documents go whole: what is left to rerank is its smallest document's.
-    return whole, np.where(whole, 0, marks[group]).astype(np.uint8)
+        out = out.filter("k < 0 OR least < low")
+    return out.select("part", "k", "least", "several", "state")
+
+
+def _bits(*flags: np.ndarray) -> bytes:
+    return b"".join(np.packbits(f).tobytes() for f in flags)
+
+
+def _flags(data: bytes, n: int, count: int):
+    step = -(-n // 8)
+    if not n:
+        return [np.zeros(0, bool)] * count
+    return [np.unpackbits(np.frombuffer(data, np.uint8, step, i * step), count=n).astype(bool) for i in range(count)]
 
 
 def suffix_dedup(docs: DataFrame, span: int = 50, carry: str | None = None, as_text: bool = False) -> DataFrame:
@@ -281,89 +236,116 @@ def suffix_dedup(docs: DataFrame, span: int = 50, carry: str | None = None, as_t
     ``carry`` names a string column that comes along unchanged (as ``carried``).
     ``as_text`` gives ``text`` in place of ``kept``, without what is left of a cut character.
     """
-    if not 32 <= span <= 64:
-        raise ValueError("span must be from 32 to 64 bytes")
+    if span < 2:
+        raise ValueError("a span has two bytes at least")
     spark = docs.sparkSession
-    left = "text" if as_text else "kept"
+    left, many = "text" if as_text else "kept", HOT
     docs = docs.select("doc_id", "text", *([F.col(carry).alias("carried")] if carry else []))
     size = total_bytes(docs)
-    parts, buckets = table_ceil(spark, size, PART_BYTES), table_ceil(spark, size, BUCKET_BYTES)
-    dealt = docs.withColumn("part", F.pmod(F.xxhash64("doc_id", "text"), F.lit(parts)))
-
-    def first_round(key, frame):
+    parts, buckets, tasks = (table_ceil(spark, size, n) for n in (PART_BYTES, BUCKET_BYTES, SORT_BYTES))
+    # Rows that repeat both id and text cannot be told apart, so the partition they were read from deals them.
+    dealt = docs.withColumn("part", F.pmod(F.xxhash64("doc_id", "text", F.spark_partition_id()), F.lit(parts))).repartition(parts, "part")
+
+    def positions(key, frame):
+        """A part's positions by bucket: what is left of their ranks there, four bytes each."""
+        names, _ = _Part(frame, span).names()
+        order, bucket = deal(names, buckets)
+        rows = [(b, int(key[0]), (names[order[begin:end]] // np.uint64(buckets)).astype(np.uint32).tobytes()) for b, begin, end in dealt_runs(bucket)]
+        return pd.DataFrame(rows, columns=["bucket", "part", "names"])
+
+    def holders(frame):
+        """Of one bucket: which positions several parts hold, and which very many."""
+        names = [np.frombuffer(x, np.uint32) for x in frame["names"]]
+        if not names:
+            return pd.DataFrame(columns=["part", "bucket", "held"])
+        _, at, count = np.unique(np.concatenate(names), return_inverse=True, return_counts=True)
+        count = np.split(count[at.ravel()], np.cumsum([len(x) for x in names])[:-1])
+        return pd.DataFrame({"part": frame["part"], "bucket": frame["bucket"], "held": [_bits(c > 1, c > many) for c in count]})
+
+    def runs(key, frame, answers):
+        """Pairs of the runs whose positions are shared, in the part or beyond."""
+        if not len(frame):
+            return pd.DataFrame(columns=_NAMES)
         part = _Part(frame, span)
-        if not len(part.doc):
-            return pd.DataFrame(columns=_ROW_NAMES)
-        group, first = part.entries(part.run, part.doc, part.name)
-        return _ship(int(key[0]), 0, part.name[first], part.run[first], part.near[first], part.ids[part.doc[first]], buckets)
-
-    def fine_windows(part: _Part, answers: pd.DataFrame):
-        """Ranks and documents of the windows to rerank, and where they are."""
-        whole, fine = _coarse(part, answers, buckets)
-        ranks, docs_of, ats, at_pass, done = [], [], [], [], 0
-        for i, p in enumerate(part.passes):
-            n = len(p.doc)
-            if n:
-                at, doc = p.windows(fine[done : done + n])
-                if len(at):
-                    ranks.append(p._window_rank_at(at))
-                    docs_of.append(doc)
-                    ats.append(at)
-                    at_pass.append(np.full(len(at), i))
-            done += n
-        cat = lambda xs, kind: np.concatenate([np.zeros(0, kind), *xs]).astype(kind)
-        return whole, cat(ranks, np.uint64), cat(docs_of, np.int64), cat(ats, np.int64), cat(at_pass, np.int64)
-
-    def second_round(key, frame, answers):
+        names, at = part.names()
+        order, bucket = deal(names, buckets)
+        shared, hot = np.zeros(len(names), bool), np.zeros(len(names), bool)
+        told = dict(zip(answers["bucket"], answers["held"]))
+        for b, begin, end in dealt_runs(bucket):
+            shared[order[begin:end]], hot[order[begin:end]] = _flags(told[b], end - begin, 2)
+        low, high = np.full(len(names), np.iinfo(np.int64).max), np.full(len(names), np.iinfo(np.int64).min)
+        np.minimum.at(low, at.ravel(), part.id)
+        np.maximum.at(high, at.ravel(), part.id)
+        kept = shared | (low < high)
+        rows, _, first, rank, spread = part.survivors(kept, hot)
+        return _pairs(int(key[0]), rank[first], part.run[rows][first], part.id[rows][first], spread[first], _bits(kept, hot))
+
+    def decided(part: _Part, answers: pd.DataFrame):
+        """Which runs go whole, and which are reranked window by window."""
+        kept, hot = _flags(answers.loc[answers["k"] < 0, "state"].iloc[0], len(part.names()[0]), 2)
+        rows, group, first, _, _ = part.survivors(kept, hot)
+        least, several = part.id[rows][first].copy(), np.zeros(len(first), bool)
+        mine = answers[answers["k"] >= 0]
+        k = mine["k"].to_numpy(np.int64)
+        several[k] = mine["several"].to_numpy(bool) & (mine["least"].to_numpy(np.int64) == least[k])
+        least[k] = mine["least"].to_numpy(np.int64)
+        whole, marks = np.zeros(len(part.doc), bool), np.zeros(len(part.doc), bool)
+        whole[rows] = part.id[rows] > least[group]
+        # Copies of a run in larger documents go whole: what is left is its smallest document's.
+        marks[rows] = several[group] & ~whole[rows]
+        return whole, marks
+
+    def windows(key, frame, answers):
         if not len(frame):
-            return pd.DataFrame(columns=_ROW_NAMES)
+            return pd.DataFrame(columns=_NAMES)
         part = _Part(frame, span)
-        _, ranks, doc, _, _ = fine_windows(part, answers)
-        if not len(ranks):
-            return pd.DataFrame(columns=_ROW_NAMES)
-        group, first = part.entries(ranks, doc)
-        return _ship(int(key[0]), 1, ranks[first], ranks[first], None, part.ids[doc[first]], buckets)
+        whole, marks = decided(part, answers)
+        _, _, doc, rank, after = part.windows(marks)
+        _, first = _distinct(doc, after, rank)
+        return _pairs(int(key[0]), rank[first], after[first], part.ids[doc[first]], np.zeros(len(first), bool), _bits(whole, marks))
 
     def finish(key, frame, answers):
         if not len(frame):
             return pd.DataFrame(columns=["doc_id", "n_bytes", left, "spans", *["carried"] * bool(carry)])
         part = _Part(frame, span)
-        whole, ranks, doc, at, at_pass = fine_windows(part, answers)
-        gone = np.zeros(0, bool)
-        if len(ranks):
-            group, first = part.entries(ranks, doc)
-            least, _ = _told(answers, 1, ranks[first], part.ids[doc[first]], buckets)
-            gone = part.ids[doc] > least[group]
-        rows, done = [], 0
-        for i, p in enumerate(part.passes):
-            n = len(p.doc)
+        whole, marks = _flags(answers.loc[answers["k"] < 0, "state"].iloc[0], len(part.doc), 2)
+        in_pass, at, doc, rank, after = part.windows(marks)
+        group, first = _distinct(doc, after, rank)
+        least = part.ids[doc[first]].copy()
+        mine = answers[answers["k"] >= 0]
+        least[mine["k"].to_numpy(np.int64)] = mine["least"].to_numpy(np.int64)
+        gone = part.ids[doc] > least[group] if len(group) else np.zeros(0, bool)
+        out, done = {}, 0
+        for i, (p, (a, b)) in enumerate(zip(part.passes, part.spans)):
             cover = np.zeros(p.size + 1, np.int32)
-            if n:
-                w = whole[done : done + n]
-                np.add.at(cover, p.begin[w], 1)
-                np.add.at(cover, p.stop[w] + span, -1)
-                fine = at[gone & (at_pass == i)] if len(gone) else at[:0]
-                np.add.at(cover, fine, 1)
-                np.add.at(cover, fine + span, -1)
-            done += n
-            out = np.cumsum(cover[:-1]) > 0
-            for j, (a, b) in enumerate(zip(p.starts, p.ends)):
-                k = p.first + j
-                text, mine = part.texts[k], out[a:b]
-                spans = []
+            w = whole[done : done + len(p.doc)]
+            done += len(p.doc)
+            fine = at[gone & (in_pass == i)]
+            for begin, stop in ((p.begin[w], p.stop[w] + span), (fine, fine + span)):
+                np.add.at(cover, begin, 1)
+                np.add.at(cover, stop, -1)
+            removed = np.cumsum(cover[:-1]) > 0
+            for (k, start, piece), end in zip(part.pieces[a:b], p.ends):
+                mine = removed[end - len(piece) : end]
                 if mine.any():
-                    edge = np.flatnonzero(np.diff(np.concatenate(([0], mine.view(np.int8), [0]))))
-                    spans = [{"start": int(x), "stop": int(y)} for x, y in edge.reshape(-1, 2)]
-                    text = np.frombuffer(text, np.uint8)[~mine].tobytes()
-                if as_text:
-                    text = text.decode("utf-8", "ignore")
-                rows.append((None if part.null[k] else int(part.ids[k]), int(b - a), text, spans, part.carried[k]))
+                    out.setdefault(k, np.zeros(len(part.texts[k]), bool))[start : start + len(piece)] |= mine
+        rows = []
+        for k, text in enumerate(part.texts):
+            size, spans = len(text), []
+            if k in out:
+                edge = np.flatnonzero(np.diff(np.concatenate(([0], out[k].view(np.int8), [0]))))
+                spans = [{"start": int(x), "stop": int(y)} for x, y in edge.reshape(-1, 2)]
+                text = np.frombuffer(text, np.uint8)[~out[k]].tobytes()
+            if as_text:
+                text = text.decode("utf-8", "ignore")
+            rows.append((None if part.null[k] else int(part.ids[k]), size, text, spans, part.carried[k]))
         ids = pd.array([r[0] for r in rows], "Int64")
         return pd.DataFrame({"doc_id": ids, "n_bytes": [r[1] for r in rows], left: [r[2] for r in rows], "spans": [r[3] for r in rows]} | ({"carried": [r[4] for r in rows]} if carry else {}))
 
-    coarse = dealt.groupBy("part").applyInPandas(first_round, _ROW).groupBy("bucket").applyInPandas(_settle, _BACK)
-    fine = dealt.groupBy("part").cogroup(coarse.groupBy("part")).applyInPandas(second_round, _ROW).groupBy("bucket").applyInPandas(_settle, _BACK)
-    return dealt.groupBy("part").cogroup(coarse.union(fine).groupBy("part")).applyInPandas(finish, f"doc_id long, n_bytes long, {'text string' if as_text else 'kept binary'}, spans array<struct<start:long,stop:long>>" + ", carried string" * bool(carry))
-
-
-_ROW_NAMES = [x.split()[0] for x in _ROW.split(", ")]
+    texts = dealt.groupBy("part")
+    held = texts.applyInPandas(positions, "bucket int, part long, names binary").repartition(buckets, "bucket").groupBy("bucket").applyInPandas(holders, "part long, bucket int, held binary")
+    step = lambda answers, f, schema: texts.cogroup(answers.repartition(parts, "part").groupBy("part")).applyInPandas(f, schema)
+    told = _sorted(step(held, runs, _PAIRS), tasks, True)
+    told = _sorted(step(told, windows, _PAIRS), tasks, False)
+    schema = f"doc_id long, n_bytes long, {'text string' if as_text else 'kept binary'}, spans array<struct<start:long,stop:long>>" + ", carried string" * bool(carry)
+    return step(told, finish, schema)

@@ -528,7 +528,7 @@ def brute_spans(rows, span):
     return sorted(out, key=str)
 
 
-@pytest.mark.parametrize("span", [50, 40])
+@pytest.mark.parametrize("span", [50, 40, 32, 7, 100])
 def test_suffix_brute_force(odd, span):
     got = [(r["doc_id"], r["n_bytes"], hashlib.sha256(bytes(r["kept"])).hexdigest(), len(r["spans"])) for r in suffix_dedup.suffix_dedup(odd, span).collect()]
     assert sorted(got, key=str) == brute_spans(odd_documents(), span)
@@ -542,6 +542,48 @@ def test_suffix_small_passes(odd, monkeypatch):
     assert sorted(got, key=str) == brute_spans(odd_documents(), 50)
 
 
+def test_suffix_many_holders_and_long_texts(spark, odd, monkeypatch):
+    # Hot positions, texts in several pieces, and few bytes a part.
+    for name, value in (("PART_BYTES", 1500), ("BUCKET_BYTES", 3000), ("SORT_BYTES", 5000), ("HOT", 4)):
+        monkeypatch.setattr(suffix_dedup, name, value)
+    rng = random.Random(12)
+    common = words(rng, 30)
+    rows = odd_documents() + [(1000 + i, f"{words(rng, 12)} {common} {words(rng, 12)}") for i in range(60)]
+    # Copies of one row by id and text lie wherever they were read.
+    rows += [(1000, rows[-60][1])] * 30 + [(None, None)] * 30
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    got = [(r["doc_id"], r["n_bytes"], hashlib.sha256(bytes(r["kept"])).hexdigest(), len(r["spans"])) for r in suffix_dedup.suffix_dedup(docs).collect()]
+    assert sorted(got, key=str) == brute_spans(rows, 50)
+
+
+def test_suffix_in_one_process(monkeypatch):
+    """Pieces, hot positions and passes of any size leave the positions' runs as they are."""
+    import pandas as pd
+
+    rng = random.Random(2)
+    texts = [words(rng, rng.randint(0, 400)) for _ in range(20)]
+    texts += [t[100:900] for t in texts]
+    frame = pd.DataFrame({"doc_id": pd.array(range(len(texts)), "Int64"), "text": texts})
+
+    def windows():
+        part = suffix_dedup._Part(frame, 50)
+        found = part.windows(np.ones(len(part.doc), bool))
+        return sorted(zip(*(x.tolist() for x in found[2:]))), sorted(set(part.name.tolist()))
+
+    whole = windows()
+    monkeypatch.setattr(suffix_dedup, "PASS", 700)
+    assert windows() == whole
+    seen = {}
+    for doc, a, b in whole[0]:
+        seen.setdefault((a, b), []).append(doc)
+    want = {}
+    for doc, t in enumerate(texts):
+        b = t.encode()
+        for p in range(len(b) - 49):
+            want.setdefault(b[p : p + 50], []).append(doc)
+    assert sorted(map(sorted, seen.values())) == sorted(map(sorted, want.values()))
+
+
 def test_suffix_texts_under_one_id(spark, monkeypatch):
     rng = random.Random(8)
     monkeypatch.setattr(suffix_dedup, "PART_BYTES", 2000)
