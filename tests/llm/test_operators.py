@@ -173,17 +173,30 @@ def test_sentencepiece_n_best_and_round_trip(odd):
 
 
 # 4 --------------------------------------------------------------------------------------
-def test_url_rules_odd_rows(spark):
+def test_url_rules_odd_rows(spark, monkeypatch):
     urls = [None, "", "no scheme", "HTTP://A.Example.ORG/es/x?y", "https://example.org/en/12", "https://xexample.org/es/", "http://b.com", "http://b.com/de/#f", "a://com/fr/" + "x" * 100_000, "x://h?://org/"]
     df = spark.createDataFrame([(i, u, "clash", 1) for i, u in enumerate(urls)] + [(None, "http://q.org/", "c", 1)] * 2, "page_id long, url string, host string, t int")
     got = {r["page_id"]: r for r in url_filter.filter_urls(df, registry.RULES).collect()}
     assert [(got[i]["rule"], got[i]["verdict"]) for i in range(len(urls))] == [(None, "allow")] * 3 + [("example.org/es/", "block"), ("example.org/en/1", "block"), ("org/", "allow"), (None, "allow"), ("com/de/", "block"), ("com/fr/", "allow"), (None, "allow")]
     assert got[None]["rule"] == "org/" and got[9]["host"] == "h"
     assert url_filter.filter_urls(df.limit(0), registry.RULES).count() == 0
-    # Every rule against every url gives the same as the index.
-    for u in got.values():
-        fits = [r for r in registry.RULES if all(p.match(x) for p, x in zip(url_filter.compiled(r), (u["host"], u["path"])))]
-        assert u["rule"] == (max(fits, key=lambda r: len(r.text)).text if fits else None)
+    # Every rule against every url gives the same as the index, whatever is broadcast.
+    rules = [*registry.RULES, url_filter.Rule("block", "/"), url_filter.Rule("allow", "b.com/de"), url_filter.Rule("block", "h/org"), url_filter.Rule("allow", "h/"), url_filter.Rule("block", "a.(example).org\\E/"), url_filter.Rule("allow", "org")]
+    more = df.union(spark.createDataFrame([(90, "x://org", "", 1), (91, "x://a.(example).org\\E/", "", 1), (92, "x://b.com/de/x", "", 1), (93, "x://./", "", 1)], df.schema))
+
+    def fits(rule, name, where):
+        at, _, rest = rule.text.partition("/")
+        return (name == at or name.endswith("." + at)) and where.startswith("/" + rest)
+
+    for held in (url_filter.HELD, 0):
+        monkeypatch.setattr(url_filter, "HELD", held)
+        rows = url_filter.filter_urls(more, spark.createDataFrame([tuple(r) for r in rules], "verdict string, text string")).collect()
+        assert len(rows) == more.count()
+        for u in rows:
+            found = sorted((r for r in rules if fits(r, u["host"], u["path"])), key=lambda r: (-len(r.text), r.text, r.verdict))
+            assert (u["rule"], u["verdict"]) == ((found[0].text, found[0].verdict) if found else (None, "allow"))
+            assert u["rules_tried"] < len(rules)
+    assert {r["verdict"] for r in url_filter.filter_urls(df, []).collect()} == {"allow"}
 
 
 # 5 --------------------------------------------------------------------------------------
