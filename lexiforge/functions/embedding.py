@@ -15,14 +15,20 @@ from pyspark.sql import functions as F
 from .text import sentence_hash
 
 
+#: What models of this kind expect before stored and before asked texts.
+PASSAGE, QUERY = "passage:", "query:"
+
+
 class Embedder(Protocol):
     dims: int
 
-    def __call__(self, texts: list[str]) -> np.ndarray: ...
+    def __call__(self, texts: list[str], prompt: str = "") -> np.ndarray:
+        """One vector for each text; ``prompt`` tells a model what the texts are."""
 
 
 class HashEmbedder:
-    """Counts of tokens in buckets by md5, to unit length; zero without tokens."""
+    """Counts of tokens in buckets by md5, to unit length; zero without tokens.  A prompt
+    changes nothing: hashes of texts and of queries are alike."""
 
     token = re.compile(r"[^\W_]+")
 
@@ -37,7 +43,7 @@ class HashEmbedder:
             found = self.known[token] = int(hashlib.md5(token.encode()).hexdigest()[:8], 16) % self.dims
         return found
 
-    def __call__(self, texts: list[str]) -> np.ndarray:
+    def __call__(self, texts: list[str], prompt: str = "") -> np.ndarray:
         out = np.zeros((len(texts), self.dims))
         for row, text in zip(out, texts):
             found = [self.bucket(t) for t in self.token.findall(text.lower())]
@@ -76,12 +82,12 @@ class HashPageEmbedder:
         return self.words(list(dict.fromkeys(self.words.token.findall(text.lower())))).tolist()
 
 
-def embed_column(text: Column, embedder: Embedder) -> Column:
+def embed_column(text: Column, embedder: Embedder, prompt: str = "") -> Column:
     """Vectors of a text column, in Arrow batches."""
 
     @F.pandas_udf("array<double>")
     def run(texts: pd.Series) -> pd.Series:
-        return pd.Series(list(embedder(texts.fillna("").tolist())))
+        return pd.Series(list(embedder(texts.fillna("").tolist(), prompt)))
 
     return run(text)
 

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..config import DEFAULT, Config
-from ..functions.embedding import Embedder, HashEmbedder, HashPageEmbedder, PageEmbedder, embed_column
+from ..functions.embedding import PASSAGE, QUERY, Embedder, HashEmbedder, HashPageEmbedder, PageEmbedder, embed_column
 from ..functions.text import extension
 from ..operators.chunking import chunk
 from ..operators.search import cosine_topk, literal, merge, prefetch_rerank, tenant, token_vectors
@@ -42,7 +42,7 @@ def text_points(chunks: DataFrame, embedder: Embedder) -> DataFrame:
     Ids follow from document and place, so a retried task writes the same points.
     """
     return chunks.select(
-        F.sha2(F.concat_ws(":", "doc_id", "chunk_ix"), 256).alias("id"), embed_column(F.col("text"), embedder).alias("txt_vectors"), "doc_id", "doc_name", "client", "bot_id",
+        F.sha2(F.concat_ws(":", "doc_id", "chunk_ix"), 256).alias("id"), embed_column(F.col("text"), embedder, PASSAGE).alias("txt_vectors"), "doc_id", "doc_name", "client", "bot_id",
         extension(F.col("doc_name")).alias("type"), F.struct("text", F.col("length").cast("int").alias("length")).alias("content"),
     )
 
@@ -259,7 +259,7 @@ class Store:
         the page embedder's vectors of the query, or by ``tokens`` (token, query)."""
         limit, prefetch, hits = limit or self.config.limit, prefetch or self.config.prefetch, []
         if txt_collection:
-            vector = literal(self.embedder([query])[0])
+            vector = literal(self.embedder([query], QUERY)[0])
             points = self.points(txt_collection).filter(tenant(client, bot_id)).withColumn("key", F.struct("id", "doc_id"))
             best = cosine_topk(points, "txt_vectors", vector, limit, "key").select("key.id", "key.doc_id", "score")
             hits.append(("text", self._payload(txt_collection, best, ["txt_vectors"])))

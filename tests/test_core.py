@@ -324,6 +324,19 @@ def test_stream_ingest(spark, tmp_path):
     assert store.points("texts").count() == 2
 
 
+def test_embedders_are_told_what_they_embed(spark, tmp_path):
+    class Prompted:
+        dims = 2
+
+        def __call__(self, texts, prompt=""):
+            return np.array([[1.0, 0.0] if prompt == "passage:" else [0.6, 0.8] if prompt == "query:" else [0.0, 1.0]] * len(texts))
+
+    store = Store(spark, f"file://{tmp_path}/store", embedder=Prompted())
+    store.ingest("c", "b", spark.createDataFrame([("a.txt", b"Some text.")], "name string, content binary"), "texts").collect()
+    assert store.points("texts").first()["txt_vectors"] == [1.0, 0.0]
+    assert [round(h["score"], 6) for h in store.search("x", "texts").collect()] == [6.0]
+
+
 def test_receipts_count_their_own_batch(spark, tmp_path):
     store = Store(spark, f"file://{tmp_path}/store")
     files = spark.createDataFrame([("a.txt", b"One. Two."), ("a.txt", b"One. Two."), ("a.txt", b"Other.")], "name string, content binary")
