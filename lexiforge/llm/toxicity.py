@@ -1,14 +1,14 @@
 """Toxicity by non-negative positive-unlabelled learning.
 
-Positives are documents marked toxic; every other document is unlabelled, whatever
-its mark.  With the class prior p, the risk of a linear model on word presence is
+Positives are documents marked toxic; a sample of all marked documents, taken without
+regard to the mark, is the unlabelled side.  With the class prior p, the risk of a linear model on word presence is
 ``p * R+(P) + max(0, R-(U) - p * R-(P))``: the part of the unlabelled risk that
 positives account for is taken off, and a step that would drive the rest below
 zero is taken backwards.  numpy trains the model with logistic loss.
 
 Words are chosen by their frequency in at most ``POSITIVES`` positives against that in
 all documents that are not held out; the steps of the gradient see these positives and
-about ``UNLABELLED`` documents (a hash of the id picks them).  One row of each id
+about ``UNLABELLED`` marked documents (a hash of the id picks them).  One row of each id
 counts; every whole text is scored.
 
 Defined cases.  Null and empty texts have no words and get the score of the bias
@@ -122,12 +122,12 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", positives: int
         return Model()
     prior = min(max(toxic / n, 1e-3), 0.9)
     h = F.pmod(F.xxhash64("doc_id", F.lit(13)), F.lit(PICK))
-    # At most ``positives`` ids: bounded, so they may be broadcast.
-    chosen = marks.filter("label = 1").select("doc_id", h.alias("h")).orderBy("h", "doc_id").limit(positives).select("doc_id", F.lit(1).alias("p"))
+    # At most ``positives`` ids and about ``unlabelled``: bounded, so they may be broadcast.
+    chosen = marks.filter("label = 1").select("doc_id", h.alias("h")).orderBy("h", "doc_id").limit(positives).select("doc_id", F.lit(True).alias("p"), F.lit(False).alias("u"))
+    others = marks.filter(h < pick_below(unlabelled, n)).select("doc_id", F.lit(False).alias("p"), F.lit(True).alias("u"))
+    sides = F.broadcast(chosen.union(others).groupBy("doc_id").agg(F.max("p").alias("p"), F.max("u").alias("u")))
     docs = docs.select("doc_id", "text").filter(~held_out())
     ids, total = docs.groupBy("doc_id").count().agg(F.count("*"), F.sum("count")).first()
-    share = h < pick_below(unlabelled, ids)
-    marked = F.broadcast(chosen)
 
     def run(batches):
         for batch in batches:
@@ -137,7 +137,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", positives: int
             yield pd.DataFrame({"word": [0], "n": [0], "texts": [len(sets)]})
 
     # Words are counted where they are; only those that recur among the positives come here.
-    held = _texts(docs.join(marked, "doc_id", "left_semi")).mapInPandas(run, "word long, n long, texts long")
+    held = _texts(docs.join(F.broadcast(chosen), "doc_id", "left_semi")).mapInPandas(run, "word long, n long, texts long")
     held = held.groupBy("word").agg(F.sum("n").alias("n"), F.sum("texts").alias("texts")).filter(f"texts > 0 OR n >= {SEEN}").toPandas()
     size = int(held["texts"].sum())
     if not size:
@@ -167,8 +167,8 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", positives: int
                     rows[r] = held.astype(np.uint16).tobytes()
             yield pd.DataFrame({"p": batch["p"], "u": batch["u"], "held": rows})
 
-    some = _texts(docs.join(marked, "doc_id", "left").filter(share | F.col("p").isNotNull()).select("doc_id", "text"))
-    rows = some.join(marked, "doc_id", "left").select(F.col("p").isNotNull().alias("p"), share.alias("u"), "text").mapInPandas(pick, "p boolean, u boolean, held binary").toPandas()
+    some = _texts(docs.join(sides, "doc_id", "left_semi").select("doc_id", "text"))
+    rows = some.join(sides, "doc_id").select("p", "u", "text").mapInPandas(pick, "p boolean, u boolean, held binary").toPandas()
     p, u = rows["p"].to_numpy(bool), rows["u"].to_numpy(bool)
     if not u.any():
         return Model()
