@@ -10,7 +10,7 @@ of the positions that are still shared, and unique ones leave.
   exchange: they stay inside a text.
 * At ``anchor`` bytes (32 for a span of 50) each window of ``span`` bytes is represented by
   one of its positions, that of the least rank, which equal windows share.  Positions whose
-  rank only one part of the table holds, in one document, leave: four bytes a position.
+  rank only one part of the table holds, in one document, leave: three bytes a position.
 * For the rest, Spark sorts pairs of ranks at the two ends of the *run* of windows that
   share the position (a pair at the offset run length - 32).  A run that also starts in a
   smaller document goes whole.  A run that is the smallest document's leaves too, unless
@@ -20,7 +20,7 @@ of the positions that are still shared, and unique ones leave.
 
 Documents are dealt into parts of about ``PART_BYTES`` by hash.  A part sends each rank or
 pair once with its smallest document, so a passage held by a third of all rows is one entry
-of each part.  A position held by more than ``HOT`` parts (the end of such a passage, with
+of each part, and texts travel compressed.  A position held by more than ``HOT`` parts (the end of such a passage, with
 another run in each document) is not sorted as one group: its runs are spread by their own
 rank, and all count as several.  What a part has decided travels with its pairs, so the
 rounds follow each other without meeting earlier ones again.
@@ -37,17 +37,24 @@ empty table gives an empty result.  Extra columns are ignored.
 
 from __future__ import annotations
 
+import pickle
+import zlib
+
 import numpy as np
 import pandas as pd
+import zstandard
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import _BYTE, as_bytes, deal, dealt_runs, give_back, mix, passes, table_ceil, total_bytes
+from .common import _BYTE, as_bytes, deal, dealt_runs, give_back, mix, passes, table_ceil, text_batches, total_bytes
 
 PART_BYTES = 4 << 20
 #: Bytes of text ranked in one numpy pass; longer texts are cut into overlapping pieces.
 PASS = 1 << 19
 BUCKET_BYTES = 8 << 20
+#: Bytes of text that a task holds while it deals its rows into parts.
+DEAL_BYTES = 32 << 20
 #: Text whose pairs one sorting task takes, about.
 SORT_BYTES = 16 << 20
 #: Positions held by more parts than this are spread by their runs.
@@ -143,11 +150,12 @@ class _Part:
 
     def __init__(self, frame: pd.DataFrame, span: int):
         give_back()
-        texts = as_bytes(frame["text"])
-        null = frame["doc_id"].isna().to_numpy()
-        ids = frame["doc_id"].fillna(0).to_numpy(np.int64)
+        rows = [row for blob in frame["blob"] for row in pickle.loads(zstandard.decompress(blob))]
+        texts = [t for _, t, _ in rows]
+        null = np.array([i is None for i, _, _ in rows], bool)
+        ids = np.array([0 if i is None else i for i, _, _ in rows], np.int64)
         order = sorted(range(len(ids)), key=lambda i: (null[i], ids[i], texts[i]))
-        self.carried = frame["carried"].to_numpy()[order] if "carried" in frame else [None] * len(order)
+        self.carried = [rows[i][2] for i in order]
         self.texts, self.ids, self.null = [texts[i] for i in order], ids[order], null[order]
         # (document, where the piece begins, the piece): windows of a document lie in one piece each.
         self.pieces = [(k, at, t[at : at + PASS + span - 1]) for k, t in enumerate(self.texts) if not self.null[k] and len(t) >= span for at in range(0, len(t) - span + 1, PASS)]
@@ -193,30 +201,87 @@ class _Part:
         return [np.concatenate([np.zeros(0, k), *[f[j] for f in found]]).astype(k) for j, k in enumerate(kinds)]
 
 
-_PAIRS = "rank long, next long, low long, k int, several boolean, part long, state binary"
+def _part_of(doc, text: bytes, parts: int) -> int:
+    """The part of a row.  Rows that repeat both id and text cannot be told apart, so the
+    partition they were read from deals them, too."""
+    key = np.array([doc or 0, zlib.crc32(text), TaskContext.get().partitionId()], np.int64).view(np.uint64)
+    return int(_spread(key[:1], key[1:2], key[2:])[0] % np.uint64(parts))
+
+
+def _deal(docs: DataFrame, parts: int) -> DataFrame:
+    """part, blob: rows (doc_id, text, carried) of one part, compressed together."""
+
+    def run(batches):
+        held: dict[int, list] = {}
+        size = 0
+
+        def send():
+            packed = [(part, zstandard.compress(pickle.dumps(rows), 3)) for part, rows in held.items()]
+            held.clear()
+            return pd.DataFrame(packed, columns=["part", "blob"])
+
+        for batch in batches:
+            ids, carried = batch["doc_id"].astype("Int64"), batch["carried"] if "carried" in batch else [None] * len(batch)
+            for doc, text, rest in zip(ids, as_bytes(batch["text"]), carried):
+                doc = None if doc is pd.NA else int(doc)
+                held.setdefault(_part_of(doc, text, parts), []).append((doc, text, rest))
+                size += len(text)
+                if size > DEAL_BYTES:
+                    yield send()
+                    size = 0
+        if held:
+            yield send()
+
+    text_batches(docs.sparkSession)
+    return docs.mapInPandas(run, "part long, blob binary")
+
+
+def _packed(values: np.ndarray) -> bytes:
+    """Ascending 32-bit numbers as steps of three bytes, or four where one is too wide."""
+    steps = np.diff(values, prepend=0).astype("<u4")
+    width = 3 if not len(steps) or steps.max() < 1 << 24 else 4
+    return bytes([width]) + np.ascontiguousarray(steps.view(np.uint8).reshape(-1, 4)[:, :width]).tobytes()
+
+
+def _unpacked(data: bytes) -> np.ndarray:
+    steps = np.zeros(((len(data) - 1) // data[0], 4), np.uint8)
+    steps[:, : data[0]] = np.frombuffer(data, np.uint8, offset=1).reshape(-1, data[0])
+    return np.cumsum(steps.view("<u4").ravel(), dtype=np.uint64)
+
+
+#: place: the part, then the pair's number in it from 1 (0: the part's own row, which carries
+#: what it has decided), then whether the rank counts as one of several runs.
+_PAIRS = "rank long, next long, low long, place long, state binary"
 _NAMES = [x.split()[0] for x in _PAIRS.split(", ")]
+_LOW32 = 0xFFFFFFFF
 
 
 def _pairs(part: int, rank, after, low, several, state: bytes) -> pd.DataFrame:
-    """A part's pairs, and a row of its own that carries what it has decided."""
     n = len(rank)
     mine = mix(np.array([part], np.uint64))
-    columns = (np.append(rank, mine).view(np.int64), np.append(after, mine).view(np.int64), np.append(low, 0), np.append(np.arange(n, dtype=np.int32), np.int32(-1)), np.append(several, False), part, [None] * n + [state])
-    return pd.DataFrame(dict(zip(_NAMES, columns)))
+    place = part << 32 | np.append(np.arange(1, n + 1) << 1 | several, 0)
+    return pd.DataFrame(dict(zip(_NAMES, (np.append(rank, mine).view(np.int64), np.append(after, mine).view(np.int64), np.append(low, 0), place, [None] * n + [state]))))
 
 
 def _sorted(pairs: DataFrame, tasks: int, runs: bool) -> DataFrame:
     """Spark sorts the pairs: of each, the smallest document (``least``).  What needs no
-    answer leaves; with ``runs``, a smallest document's run stays if its rank has several."""
+    answer leaves; with ``runs``, a run of a rank that has several stays."""
     order = Window.partitionBy("rank", "next").orderBy("low")
     out = pairs.repartition(tasks, "rank").withColumn("least", F.first("low").over(order))
+    own, several = F.col("state").isNotNull(), F.lit(False)
     if runs:
         group = Window.partitionBy("rank")
-        out = out.withColumn("several", F.col("several") | (F.min("next").over(group) != F.max("next").over(group)))
-        out = out.filter("k < 0 OR least < low OR several")
-    else:
-        out = out.filter("k < 0 OR least < low")
-    return out.select("part", "k", "least", "several", "state")
+        out = out.withColumn("place", F.when(F.min("next").over(group) != F.max("next").over(group), F.col("place").bitwiseOR(F.lit(1))).otherwise(F.col("place")))
+        several = F.col("place") % 2 == 1
+    out = out.filter(own | (F.col("least") < F.col("low")) | several)
+    return out.select(F.shiftright("place", 32).alias("part"), F.col("place").bitwiseAND(F.lit(_LOW32)).alias("place"), "least", "state")
+
+
+def _own(answers: pd.DataFrame):
+    """What a part has decided, and the answers to its pairs: (number, smallest document, several)."""
+    mine = answers["state"].notna().to_numpy()
+    place = answers["place"].to_numpy(np.int64)[~mine]
+    return answers["state"][mine].iloc[0], (place >> 1) - 1, answers["least"].to_numpy(np.int64)[~mine], (place & 1).astype(bool)
 
 
 def _bits(*flags: np.ndarray) -> bytes:
@@ -243,19 +308,20 @@ def suffix_dedup(docs: DataFrame, span: int = 50, carry: str | None = None, as_t
     docs = docs.select("doc_id", "text", *([F.col(carry).alias("carried")] if carry else []))
     size = total_bytes(docs)
     parts, buckets, tasks = (table_ceil(spark, size, n) for n in (PART_BYTES, BUCKET_BYTES, SORT_BYTES))
-    # Rows that repeat both id and text cannot be told apart, so the partition they were read from deals them.
-    dealt = docs.withColumn("part", F.pmod(F.xxhash64("doc_id", "text", F.spark_partition_id()), F.lit(parts))).repartition(parts, "part")
+    dealt = _deal(docs, parts).repartition(parts, "part")
+    # Positions are compared in their bucket by their leading 32 bits there, which ascend with them.
+    shift = np.uint64(max(0, ((1 << 64) // buckets).bit_length() - 32))
 
     def positions(key, frame):
-        """A part's positions by bucket: what is left of their ranks there, four bytes each."""
+        """A part's positions by bucket, three or four bytes each."""
         names, _ = _Part(frame, span).names()
         order, bucket = deal(names, buckets)
-        rows = [(b, int(key[0]), (names[order[begin:end]] // np.uint64(buckets)).astype(np.uint32).tobytes()) for b, begin, end in dealt_runs(bucket)]
+        rows = [(b, int(key[0]), _packed(names[order[begin:end]] // np.uint64(buckets) >> shift)) for b, begin, end in dealt_runs(bucket)]
         return pd.DataFrame(rows, columns=["bucket", "part", "names"])
 
     def holders(frame):
         """Of one bucket: which positions several parts hold, and which very many."""
-        names = [np.frombuffer(x, np.uint32) for x in frame["names"]]
+        names = [_unpacked(x) for x in frame["names"]]
         if not names:
             return pd.DataFrame(columns=["part", "bucket", "held"])
         _, at, count = np.unique(np.concatenate(names), return_inverse=True, return_counts=True)
@@ -282,13 +348,12 @@ def suffix_dedup(docs: DataFrame, span: int = 50, carry: str | None = None, as_t
 
     def decided(part: _Part, answers: pd.DataFrame):
         """Which runs go whole, and which are reranked window by window."""
-        kept, hot = _flags(answers.loc[answers["k"] < 0, "state"].iloc[0], len(part.names()[0]), 2)
+        state, k, told, many = _own(answers)
+        kept, hot = _flags(state, len(part.names()[0]), 2)
         rows, group, first, _, _ = part.survivors(kept, hot)
         least, several = part.id[rows][first].copy(), np.zeros(len(first), bool)
-        mine = answers[answers["k"] >= 0]
-        k = mine["k"].to_numpy(np.int64)
-        several[k] = mine["several"].to_numpy(bool) & (mine["least"].to_numpy(np.int64) == least[k])
-        least[k] = mine["least"].to_numpy(np.int64)
+        several[k] = many & (told == least[k])
+        least[k] = told
         whole, marks = np.zeros(len(part.doc), bool), np.zeros(len(part.doc), bool)
         whole[rows] = part.id[rows] > least[group]
         # Copies of a run in larger documents go whole: what is left is its smallest document's.
@@ -308,12 +373,12 @@ def suffix_dedup(docs: DataFrame, span: int = 50, carry: str | None = None, as_t
         if not len(frame):
             return pd.DataFrame(columns=["doc_id", "n_bytes", left, "spans", *["carried"] * bool(carry)])
         part = _Part(frame, span)
-        whole, marks = _flags(answers.loc[answers["k"] < 0, "state"].iloc[0], len(part.doc), 2)
+        state, k, told, _ = _own(answers)
+        whole, marks = _flags(state, len(part.doc), 2)
         in_pass, at, doc, rank, after = part.windows(marks)
         group, first = _distinct(doc, after, rank)
         least = part.ids[doc[first]].copy()
-        mine = answers[answers["k"] >= 0]
-        least[mine["k"].to_numpy(np.int64)] = mine["least"].to_numpy(np.int64)
+        least[k] = told
         gone = part.ids[doc] > least[group] if len(group) else np.zeros(0, bool)
         out, done = {}, 0
         for i, (p, (a, b)) in enumerate(zip(part.passes, part.spans)):

@@ -570,14 +570,25 @@ def test_suffix_many_holders_and_long_texts(spark, odd, monkeypatch):
     assert sorted(got, key=str) == brute_spans(rows, 50)
 
 
+def test_suffix_packs_positions():
+    for values in ([], [0], [5, 5, 9], [0, 1 << 24, (1 << 32) - 1], list(range(0, 1 << 30, 99_999))):
+        packed = suffix_dedup._packed(np.array(values, np.uint64))
+        assert suffix_dedup._unpacked(packed).tolist() == values
+    assert len(suffix_dedup._packed(np.arange(100, dtype=np.uint64))) == 301
+
+
 def test_suffix_in_one_process(monkeypatch):
     """Pieces, hot positions and passes of any size leave the positions' runs as they are."""
+    import pickle
+
     import pandas as pd
+    import zstandard
 
     rng = random.Random(2)
     texts = [words(rng, rng.randint(0, 400)) for _ in range(20)]
     texts += [t[100:900] for t in texts]
-    frame = pd.DataFrame({"doc_id": pd.array(range(len(texts)), "Int64"), "text": texts})
+    rows = [(i, t.encode(), None) for i, t in enumerate(texts)]
+    frame = pd.DataFrame({"blob": [zstandard.compress(pickle.dumps(rows[i : i + 7])) for i in range(0, len(rows), 7)]})
 
     def windows():
         part = suffix_dedup._Part(frame, 50)
