@@ -28,7 +28,6 @@ from ..sources.pages import ROW, read_pages
 
 TEXT_POINT = "id string, txt_vectors array<double>, doc_id string, doc_name string, client string, bot_id string, type string, content struct<text:string,length:int>"
 PAGE_POINT = ROW.removesuffix(", error string")
-RECEIPT = "name string, doc_id string, collection string, chunks long, error string"
 BUCKETS = 64
 
 

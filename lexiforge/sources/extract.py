@@ -204,8 +204,8 @@ def extract(files: DataFrame) -> DataFrame:
 
     Formats without native form are read by Arrow functions over their own rows only.
     """
-    text = decode_text(F.col("content"))
-    native = {"txt": text, "log": text, "html": html_text(text), "md": markdown_text(text)}
+    text = txt_text(F.col("content"))
+    native = {"txt": text, "log": log_text(F.col("content")), "html": html_text(text), "md": markdown_text(text)}
     python = {"csv": csv_text_any, "xml": xml_text_safe, "docx": docx_text, "epub": epub_text}
     none = F.lit(None).cast("array<string>")
     parts = [files.filter(F.col("ext").isin(*native)).select("*", F.coalesce(*[F.when(F.col("ext") == e, x) for e, x in native.items()]).alias("text"), none.alias("texts"))]
