@@ -15,6 +15,8 @@ class Config:
     prefetch: int = 100
     page_batch: int = 5
     dims: int = 64
+    #: Buckets of a new collection: a lookup or delete touches one of them.
+    buckets: int = 64
     text_formats: tuple[str, ...] = ("txt", "docx", "md", "csv", "json", "html", "xml", "epub", "log")
     image_formats: tuple[str, ...] = ("png", "jpg", "pdf")
 

@@ -28,11 +28,10 @@ from ..sources.pages import ROW, read_pages
 
 TEXT_POINT = "id string, txt_vectors array<double>, doc_id string, doc_name string, client string, bot_id string, type string, content struct<text:string,length:int>"
 PAGE_POINT = ROW.removesuffix(", error string")
-BUCKETS = 64
 
 
-def bucket_of(doc_id):
-    return F.pmod(F.xxhash64(doc_id), F.lit(BUCKETS)).cast("int")
+def bucket_of(doc_id, buckets: int):
+    return F.pmod(F.xxhash64(doc_id), F.lit(buckets)).cast("int")
 
 
 def text_points(chunks: DataFrame, embedder: Embedder) -> DataFrame:
@@ -113,7 +112,7 @@ class Store:
             raise ValueError(f"no name for a collection: {name!r}")
         log = self._log(name)
         if not log.entries():
-            log.publish({"kind": "text" if text else "image", "add": [], "remove": []}, 0)
+            log.publish({"kind": "text" if text else "image", "buckets": self.config.buckets, "add": [], "remove": []}, 0)
 
     def collections(self) -> DataFrame:
         """collection: all names, sorted."""
@@ -149,9 +148,10 @@ class Store:
 
     def _written(self, name: str, points: DataFrame, folder: str) -> list[str]:
         """Write the points' files; the folders of their buckets."""
-        base = f"{self.root}/{name}/{folder}"
-        points.withColumn("bucket", bucket_of("doc_id")).write.mode("overwrite").partitionBy("bucket").parquet(base)
-        log = self._log(name)
+        log, base = self._log(name), f"{self.root}/{name}/{folder}"
+        dealt = points.withColumn("bucket", bucket_of("doc_id", log.entries()[0]["buckets"]))
+        # Files of a good size, whatever the tasks and however full a bucket: AQE merges and splits.
+        dealt.hint("rebalance", F.col("bucket")).sortWithinPartitions("bucket", "doc_id", *[c for c in ("page_number",) if c in points.columns]).write.mode("overwrite").partitionBy("bucket").parquet(base)
         return sorted(f"{folder}/{s.getPath().getName()}" for s in log.fs().listStatus(log.path(folder)) if s.isDirectory())
 
     def add(self, name: str, points: DataFrame, batch: str | None = None) -> list[str]:
@@ -210,20 +210,21 @@ class Store:
         return out.select("name", "doc_id", F.lit(name).alias("collection"), F.coalesce("chunks", F.lit(0)).alias("chunks"), error)
 
     def add_pages(self, name: str, pages: DataFrame, batch: str | None = None) -> list[str]:
-        """Store page points, those of this engine's reader or others; the pages of a batch
-        (:func:`page_batch`) lie together."""
+        """Store page points, those of this engine's reader or others; a document's pages, and so
+        those of a batch (:func:`page_batch`), lie together in their order."""
         self.create(name, False)
-        return self.add(name, pages.repartition(bucket_of("doc_id")).sortWithinPartitions(bucket_of("doc_id"), "doc_id", page_batch(F.col("page_number"), self.config), "page_number"), batch)
+        return self.add(name, pages, batch)
 
-    def _bucket(self, doc_id: str) -> int:
-        return self.spark.range(1).select(bucket_of(F.lit(doc_id)).alias("b")).first()["b"]
+    def _bucket(self, doc_id: str, name: str) -> int:
+        buckets = self._entries(name)[0]["buckets"]
+        return self.spark.range(1).select(bucket_of(F.lit(doc_id), buckets).alias("b")).first()["b"]
 
     def search_by_docid(self, doc_id: str, name: str) -> DataFrame:
-        return self.points(name, self._bucket(doc_id)).filter(F.col("doc_id") == doc_id)
+        return self.points(name, self._bucket(doc_id, name)).filter(F.col("doc_id") == doc_id)
 
     def delete_by_docid(self, doc_id: str, name: str) -> int:
         """Points deleted."""
-        bucket = self._bucket(doc_id)
+        bucket = self._bucket(doc_id, name)
         while True:
             entries = self._entries(name)
             old = self._live(entries, bucket)
@@ -240,15 +241,15 @@ class Store:
         between.  Files that no entry names any more are left to the operator of the store."""
         entries = self._entries(name)
         live = self._live(entries)
-        whole = self._read(name, entries[0]["kind"], live).repartition(bucket_of("doc_id"))
+        whole = self._read(name, entries[0]["kind"], live)
         return self._log(name).publish({"add": self._written(name, whole, f"data/{uuid.uuid4().hex}"), "remove": live}, len(entries))
 
     def _payload(self, name: str, best: DataFrame, vectors: list[str]) -> DataFrame:
         """The hits (id, doc_id, score: ``limit`` at most) with their payload, read from their
         documents' buckets only."""
-        hits = best.withColumn("bucket", bucket_of("doc_id")).collect()
-        found = self.spark.createDataFrame([(h["id"], h["score"]) for h in hits], "id string, score double")
         entries = self._entries(name)
+        hits = best.withColumn("bucket", bucket_of("doc_id", entries[0]["buckets"])).collect()
+        found = self.spark.createDataFrame([(h["id"], h["score"]) for h in hits], "id string, score double")
         paths = [p for b in sorted({h["bucket"] for h in hits}) for p in self._live(entries, b)]
         payload = self._read(name, entries[0]["kind"], paths).drop(*vectors)
         return F.broadcast(found).join(payload.filter(F.col("id").isin([h["id"] for h in hits])), "id")
