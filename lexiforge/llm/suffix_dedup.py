@@ -123,7 +123,8 @@ class _Pass:
         fits[fits] = stop[fits] + span <= self.ends[owner[fits]]
         self.begin, self.stop, owner = begin[fits], stop[fits], owner[fits]
         position = (low[self.begin] & np.uint64((1 << PLACE_BITS) - 1)).astype(np.int64)
-        self.doc, self.name = docs[owner], order[position]
+        # Least ranks are small numbers: mixed again, they spread evenly.
+        self.doc, self.name = docs[owner], mix(order[position])
         # Ranks at both ends of a run, with where its position and its end lie.
         self.first = _spread(rank[self.begin], position - self.begin)
         self.last = _spread(rank[self.stop + span - self.whole], self.stop - self.begin)
@@ -264,24 +265,26 @@ def _pairs(part: int, rank, after, low, several, state: bytes) -> pd.DataFrame:
 
 
 def _sorted(pairs: DataFrame, tasks: int, runs: bool) -> DataFrame:
-    """Spark sorts the pairs: of each, the smallest document (``least``).  What needs no
-    answer leaves; with ``runs``, a run of a rank that has several stays."""
+    """Spark sorts the pairs: the smallest document of each decides.  Answered are those of
+    larger documents, which go, and with ``runs`` the smallest document's where its rank has
+    several (``place`` odd); what needs no answer leaves."""
     order = Window.partitionBy("rank", "next").orderBy("low")
     out = pairs.repartition(tasks, "rank").withColumn("least", F.first("low").over(order))
-    own, several = F.col("state").isNotNull(), F.lit(False)
+    own, several, first = F.col("state").isNotNull(), F.lit(False), F.col("least") == F.col("low")
     if runs:
         group = Window.partitionBy("rank")
-        out = out.withColumn("place", F.when(F.min("next").over(group) != F.max("next").over(group), F.col("place").bitwiseOR(F.lit(1))).otherwise(F.col("place")))
-        several = F.col("place") % 2 == 1
-    out = out.filter(own | (F.col("least") < F.col("low")) | several)
-    return out.select(F.shiftright("place", 32).alias("part"), F.col("place").bitwiseAND(F.lit(_LOW32)).alias("place"), "least", "state")
+        out = out.withColumn("many", F.min("next").over(group) != F.max("next").over(group))
+        several = F.col("many") | (F.col("place") % 2 == 1)
+    out = out.filter(own | ~first | several)
+    pair = F.shiftright(F.col("place").bitwiseAND(F.lit(_LOW32)), 1).cast("int")
+    return out.select(F.shiftright("place", 32).alias("part"), (2 * pair + F.when(first, 1).otherwise(0)).cast("int").alias("place"), "state")
 
 
 def _own(answers: pd.DataFrame):
-    """What a part has decided, and the answers to its pairs: (number, smallest document, several)."""
+    """What a part has decided, and the numbers of its pairs that go and of those with several."""
     mine = answers["state"].notna().to_numpy()
     place = answers["place"].to_numpy(np.int64)[~mine]
-    return answers["state"][mine].iloc[0], (place >> 1) - 1, answers["least"].to_numpy(np.int64)[~mine], (place & 1).astype(bool)
+    return answers["state"][mine].iloc[0], (place[place & 1 == 0] >> 1) - 1, (place[place & 1 == 1] >> 1) - 1
 
 
 def _bits(*flags: np.ndarray) -> bytes:
@@ -348,14 +351,13 @@ def suffix_dedup(docs: DataFrame, span: int = 50, carry: str | None = None, as_t
 
     def decided(part: _Part, answers: pd.DataFrame):
         """Which runs go whole, and which are reranked window by window."""
-        state, k, told, many = _own(answers)
+        state, go, stay = _own(answers)
         kept, hot = _flags(state, len(part.names()[0]), 2)
         rows, group, first, _, _ = part.survivors(kept, hot)
-        least, several = part.id[rows][first].copy(), np.zeros(len(first), bool)
-        several[k] = many & (told == least[k])
-        least[k] = told
+        gone, several = np.zeros(len(first), bool), np.zeros(len(first), bool)
+        gone[go], several[stay] = True, True
         whole, marks = np.zeros(len(part.doc), bool), np.zeros(len(part.doc), bool)
-        whole[rows] = part.id[rows] > least[group]
+        whole[rows] = gone[group] | (part.id[rows] > part.id[rows][first][group])
         # Copies of a run in larger documents go whole: what is left is its smallest document's.
         marks[rows] = several[group] & ~whole[rows]
         return whole, marks
@@ -373,13 +375,13 @@ def suffix_dedup(docs: DataFrame, span: int = 50, carry: str | None = None, as_t
         if not len(frame):
             return pd.DataFrame(columns=["doc_id", "n_bytes", left, "spans", *["carried"] * bool(carry)])
         part = _Part(frame, span)
-        state, k, told, _ = _own(answers)
+        state, go, _ = _own(answers)
         whole, marks = _flags(state, len(part.doc), 2)
         in_pass, at, doc, rank, after = part.windows(marks)
         group, first = _distinct(doc, after, rank)
-        least = part.ids[doc[first]].copy()
-        least[k] = told
-        gone = part.ids[doc] > least[group] if len(group) else np.zeros(0, bool)
+        gone = np.zeros(len(first), bool)
+        gone[go] = True
+        gone = gone[group] | (part.ids[doc] > part.ids[doc[first]][group])
         out, done = {}, 0
         for i, (p, (a, b)) in enumerate(zip(part.passes, part.spans)):
             cover = np.zeros(p.size + 1, np.int32)
