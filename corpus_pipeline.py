@@ -3,8 +3,9 @@ passages, packing.  Each stage takes (spark, docs, sf_dir); its result is writte
 Parquet and read back as the next one's documents.
 
 Defined cases are those of the operators; rows with a null doc_id are judged by
-their text and packed; as near copies they come after those with an id.  All but the last stage return
-the columns of documents.
+their text and packed; as near copies they come after those with an id.  Rows that repeat
+a doc_id are rows of their own: none is dropped for another's text.  All but the last stage
+return the columns of documents.
 """
 
 from __future__ import annotations
