@@ -149,4 +149,6 @@ def chunk(docs: DataFrame, parts: Column, config: Config = DEFAULT, strategy: st
     else:
         at = _meaning(p, config, embedder) if embedder and strategy == "semantic" else _starts(p, (balanced if strategy == "balanced" else by_size)(config), config)
         made = docs.select("doc_id", "parts", at.alias("at")).select("doc_id", chunks_at(p, F.col("at"), config).alias("chunks"))
-    return made.select("doc_id", F.posexplode("chunks").alias("chunk_ix", "chunk")).select("doc_id", "chunk_ix", "chunk.text", "chunk.length")
+    # Outer: for an inner explode Spark would first compute all chunks once more, to drop empty lists.
+    rows = made.select("doc_id", F.posexplode_outer("chunks").alias("chunk_ix", "chunk")).filter("chunk_ix IS NOT NULL")
+    return rows.select("doc_id", "chunk_ix", "chunk.text", "chunk.length")

@@ -16,4 +16,5 @@ def sentences(text: Column) -> Column:
 
 def explode_sentences(docs: DataFrame) -> DataFrame:
     """doc_id, sentence_ix, sentence."""
-    return docs.select("doc_id", F.posexplode(sentences(F.col("text"))).alias("sentence_ix", "sentence"))
+    # Outer: for an inner explode Spark would split every text twice, to drop empty lists.
+    return docs.select("doc_id", F.posexplode_outer(sentences(F.col("text"))).alias("sentence_ix", "sentence")).filter("sentence_ix IS NOT NULL")
