@@ -57,10 +57,14 @@ def html_text(html: Column) -> Column:
     return F.coalesce(_unescaped(F.when(F.contains(html, F.lit("&")), html)), html)
 
 
-def markdown_text(markdown: Column) -> Column:
+def _bare_markdown(markdown: Column) -> Column:
     for pattern, new in MARKDOWN_RULES:
         markdown = F.regexp_replace(markdown, pattern, new)
-    return html_text(markdown)
+    return markdown
+
+
+def markdown_text(markdown: Column) -> Column:
+    return html_text(_bare_markdown(markdown))
 
 
 def xml_text(xml: Column) -> Column:
@@ -200,18 +204,17 @@ docx_text, epub_text = _safe(docx_content), _safe(epub_content)
 
 
 def extract(files: DataFrame) -> DataFrame:
-    """``files`` (with ``ext`` and ``content``) plus ``text``, or ``texts`` for JSON.
+    """``files`` (with ``ext`` and ``content``) plus ``text``, or ``texts`` for JSON; files of
+    other kinds are left out.
 
-    Formats without native form are read by Arrow functions over their own rows only.
+    One pass for all formats: what a format's function reads is null in others' rows, so
+    content leaves the JVM only for the formats that need it.
     """
-    text = txt_text(F.col("content"))
-    native = {"txt": text, "log": log_text(F.col("content")), "html": html_text(text), "md": markdown_text(text)}
+    ext, text = F.col("ext"), txt_text(F.col("content"))
     python = {"csv": csv_text_any, "xml": xml_text_safe, "docx": docx_text, "epub": epub_text}
-    none = F.lit(None).cast("array<string>")
-    parts = [files.filter(F.col("ext").isin(*native)).select("*", F.coalesce(*[F.when(F.col("ext") == e, x) for e, x in native.items()]).alias("text"), none.alias("texts"))]
-    parts += [files.filter(F.col("ext") == e).select("*", f("content").alias("text"), none.alias("texts")) for e, f in python.items()]
-    parts.append(files.filter(F.col("ext") == "json").select("*", F.lit(None).cast("string").alias("text"), json_texts(text).alias("texts")))
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.unionByName(part)
-    return out
+    page = F.when(ext == "html", text).when(ext == "md", _bare_markdown(F.when(ext == "md", text)))
+    found = F.when(ext == "txt", text).when(ext == "log", log_text(F.col("content"))).when(ext.isin("html", "md"), html_text(page))
+    for kind, read in python.items():
+        found = found.when(ext == kind, read(F.when(ext == kind, F.col("content"))))
+    texts = F.when(ext == "json", json_texts(F.when(ext == "json", text)))
+    return files.filter(ext.isin("txt", "log", "html", "md", "json", *python)).select("*", found.alias("text"), texts.alias("texts"))
